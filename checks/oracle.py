@@ -199,13 +199,13 @@ SELECT CAST(row_number() OVER (ORDER BY part, pos, label) - 1 AS INTEGER) AS ord
 
 # Level after every start or end, then the peak per minute including what it began with.
 IN_FLIGHT = f"""WITH edges AS (
-  SELECT epoch_us(ts) AS at, 1 AS d FROM ({TRAFFIC}) a WHERE latency_us > 0
+  SELECT epoch_us(ts) AS instant, 1 AS d FROM ({TRAFFIC}) a WHERE latency_us > 0
   UNION ALL SELECT epoch_us(ts) + latency_us, -1 FROM ({TRAFFIC}) b WHERE latency_us > 0),
-netted AS (SELECT at, CAST(sum(d) AS BIGINT) AS d FROM edges GROUP BY at),
-levels AS (SELECT at, CAST(sum(d) OVER (ORDER BY at) AS BIGINT) AS after, CAST(coalesce(sum(d) OVER (
-  ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM netted)
-SELECT CAST(at // 60000000 AS BIGINT) * 60000000 AS minute_us,
-  greatest(max(after), arg_min(before, at)) AS peak FROM levels GROUP BY at // 60000000"""
+netted AS (SELECT instant, CAST(sum(d) AS BIGINT) AS d FROM edges GROUP BY instant),
+levels AS (SELECT instant, CAST(sum(d) OVER (ORDER BY instant) AS BIGINT) AS after, CAST(coalesce(sum(d) OVER (
+  ORDER BY instant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM netted)
+SELECT CAST(instant // 60000000 AS BIGINT) * 60000000 AS minute_us,
+  greatest(max(after), arg_min(before, instant)) AS peak FROM levels GROUP BY instant // 60000000"""
 
 WINDOWS = f"""WITH {BUCKETED},
 windowed AS (SELECT *, epoch_us(ts) // 21600000000 * 21600000000 AS window_start_us FROM ({TRAFFIC}) t),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from logsluice.functions.words import REDACTED, any_case
 
 # Object keys whose value is redacted, the content type that marks
-# JSON, the encoding that marks base64, and how deep JSON may nest.
+# JSON and the encoding that marks base64.
 PRIVATE_KEYS = (
     "password",
     "token",
@@ -37,7 +37,6 @@ PRIVATE_KEYS = (
 )
 JSON_TYPE = "application/json"
 BASE64 = "base64"
-MAX_DEPTH = 127
 
 # Standard alphabet, padding required, unused bits zero.
 _BASE64_TEXT = (
@@ -50,9 +49,11 @@ _BASE64_TEXT = (
 _TREE_ONLY_TEXT = (
     r"(?:^|[:\[,\s])"
     r"(?:-0(?![.\d])|-?(?:\d{19}|\d++(?:\.\d++)?[eE]|\d++\.\d*0(?!\d)|0\.00000|(?=\d++\.)[\d.]{17}))"
-    r"|\\u(?:00[01]|[dD][89abAB])"
+    r"|\\u(?:00[01]|[dD][89a-fA-F])"
 )
 
+_LONE_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _SCALAR = r'[^"\[\]{},]++'
 
@@ -159,37 +160,43 @@ def _redact_text(text: str | None, private: frozenset[str], exempt: frozenset[st
         return None
     try:
         parsed = json.loads(text, parse_int=_number, parse_float=_finite, parse_constant=_reject)
-        printed = _print_json(parsed, private, exempt, MAX_DEPTH)
-        printed.encode("utf-8")  # a lone surrogate is not valid text
+        if _LONE_SURROGATE.search(text) and _has_lone_surrogate(parsed):
+            return None
+        printed = _print_json(parsed, private, exempt)
     except (ValueError, RecursionError):
         return None
     return printed
 
 
-def _print_json(value, private: frozenset[str], exempt: frozenset[str], depth: int) -> str:
+def _print_json(value, private: frozenset[str], exempt: frozenset[str]) -> str:
     """Compact text with sorted keys; no key is private below an exempt one."""
-    if isinstance(value, (dict, list)) and depth == 0:
-        raise ValueError("nested too deeply")
     if isinstance(value, dict):
         members = []
         for key in sorted(value):
             name = key.lower()
             if name in exempt:
-                printed = _print_json(value[key], frozenset(), exempt, depth - 1)
+                printed = _print_json(value[key], frozenset(), exempt)
             elif name in private:
-                _print_json(value[key], frozenset(), exempt, depth - 1)
                 printed = f'"{REDACTED}"'
             else:
-                printed = _print_json(value[key], private, exempt, depth - 1)
+                printed = _print_json(value[key], private, exempt)
             members.append(f"{json.dumps(key, ensure_ascii=False)}:{printed}")
         return "{" + ",".join(members) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(_print_json(v, private, exempt, depth - 1) for v in value) + "]"
+        return "[" + ",".join(_print_json(v, private, exempt) for v in value) + "]"
     if isinstance(value, float):
         return _float_text(value)
     return json.dumps(value, ensure_ascii=False)
 
 
+def _has_lone_surrogate(value) -> bool:
+    try:
+        json.dumps(value, ensure_ascii=False).encode("utf-8")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 def _reject(constant: str):
     raise ValueError(f"{constant} is not JSON")
 

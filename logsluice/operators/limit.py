@@ -37,7 +37,7 @@ def limit_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
         width = -(-(high - low + 1) // RANGES)
         inside = lines.where(position.between(low, high))
         ranges = F.expr(f"(line_no - {low}) div {width}")
-        hit = _range_of_nth(_passing(inside, options), [ranges.alias("range")], wanted)
+        hit, _ = _range_of_nth(_passing(inside, options), [ranges.alias("range")], wanted)
         if hit is None:
             break
         wanted -= hit["before"]
@@ -66,7 +66,7 @@ def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
     while start < len(files):
         last = files[min(start + step, len(files)) - 1]
         batch = _passing(read_lines(spark, uri, region, after=previous, upto=last), options)
-        hit = _range_of_nth(batch, [F.col("line_no.file").alias("file")], wanted)
+        hit, total = _range_of_nth(batch, [F.col("line_no.file").alias("file")], wanted)
         if hit is not None:
             earlier = [f for f in files if f < hit["file"]]
             before = earlier[-1] if earlier else None
@@ -75,7 +75,7 @@ def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
             if before is None:
                 return cut
             return read_lines(spark, uri, region, upto=before).unionByName(cut)
-        wanted -= batch.count()
+        wanted -= total
         start, step, previous = start + step, step * 2, last
     return read_source(spark, options)
 
@@ -85,24 +85,23 @@ def _passing(lines: DataFrame, options: JobOptions) -> DataFrame:
 
 
 def _range_of_nth(passing: DataFrame, ranges: list[Column], wanted: int):
-    """First range at whose end ``wanted`` rows have been seen, with the count before it."""
+    """The first range at whose end ``wanted`` rows have been seen, or None, and all rows seen."""
     counts = passing.groupBy(*ranges).agg(F.count("*").alias("n"))
     names = [c for c in counts.columns if c != "n"]
     running = F.sum("n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        counts.withColumn("seen", running)
-        .where(F.col("seen") >= wanted)
-        .orderBy(*names)
-        .select(*names, (F.col("seen") - F.col("n")).alias("before"))
-        .first()
+    here = F.struct(*names, (F.col("seen") - F.col("n")).alias("before"))
+    found = counts.withColumn("seen", running).agg(
+        F.min(F.when(F.col("seen") >= wanted, here)).alias("hit"),
+        F.coalesce(F.max("seen"), F.lit(0)).alias("total"),
     )
+    return found.first()
 
 
 def _cut_in_file(one_file: DataFrame, options: JobOptions, wanted: int) -> DataFrame:
     """Lines of one file up to its ``wanted``-th passing line."""
     block, row = F.col("line_no.block"), F.col("line_no.row")
     passing = _passing(one_file, options)
-    hit = _range_of_nth(passing, [block.alias("block")], wanted)
+    hit, _ = _range_of_nth(passing, [block.alias("block")], wanted)
     in_block = passing.where(block == hit["block"]).select(row.alias("row"))
     # At most the rows of one input split.
     last = in_block.orderBy("row").limit(wanted - hit["before"]).agg(F.max("row")).first()[0]

@@ -32,7 +32,9 @@ def read_lines(
 
 def list_files(spark: SparkSession, path: str | list[str], region: str | None = None) -> list[str]:
     """Input files in the order their lines count; listing only, nothing is read."""
-    return sorted(_reader(spark, region).text(path).inputFiles())
+    names = _reader(spark, region).text(path).inputFiles()
+    # The listing writes an empty authority, file:///a, which line_no.file does not.
+    return sorted(name.replace(":///", ":/", 1) for name in names)
 
 
 def _reader(spark: SparkSession, region: str | None):
