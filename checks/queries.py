@@ -140,7 +140,7 @@ def body_redacted_passthrough(spark, sf):
 
 def document_bodies(spark, sf):
     """Whole document texts inside JSON bodies with a private field beside them."""
-    documents = views.table(spark, sf, "documents")
+    documents = views.spread(views.table(spark, sf, "documents"))
     author = F.struct(F.concat(F.lit("a"), "doc_id").alias("Email"), F.col("lang"))
     body = F.to_json(F.struct("text", author.alias("author"), "doc_id"))
     rows = documents.select("doc_id", body.alias("body"), F.lit("application/json").alias("content_type"))

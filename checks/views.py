@@ -94,17 +94,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of fewer splits; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, TRAFFIC).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _timed(_sql(spark, table(spark, sf_dir, "events"), TRAFFIC))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, LINES)
+    return _sql(spark, spread(table(spark, sf_dir, "events")), LINES)
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(text.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
+def _sql(spark: SparkSession, events: DataFrame, text: str) -> DataFrame:
+    events.createOrReplaceTempView("logsluice_events")
+    return spark.sql(text.replace("FROM events", "FROM logsluice_events"))
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +131,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         encoding = F.when(by_body == k, F.lit(coded)).otherwise(encoding)
     bad = F.col("line_no") % BAD_BASE64_EVERY == 9
     body = F.when(bad, F.lit("aGVsbG9=")).otherwise(body)
-    return traffic(spark, sf_dir).select(
+    rows = _timed(_sql(spark, spread(table(spark, sf_dir, "events")), TRAFFIC))
+    return rows.select(
         "line_no",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         "method",

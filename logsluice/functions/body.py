@@ -13,14 +13,19 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 from collections.abc import Collection
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.functions.words import REDACTED, any_case
 
+# Send the UDF's helpers along with it: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Object keys whose value is redacted, the content type that marks
 # JSON and the encoding that marks base64.
 PRIVATE_KEYS = (
@@ -45,12 +50,12 @@ _BASE64_TEXT = (
 )
 
 # JSON whose compact text VARIANT and a float-based printer may render differently:
-# exponents, trailing zeros, -0, tiny or very long numbers; control and surrogate escapes.
-_TREE_ONLY_TEXT = (
-    r"(?:^|[:\[,\s])"
-    r"(?:-0(?![.\d])|-?(?:\d{19}|\d++(?:\.\d++)?[eE]|\d++\.\d*0(?!\d)|0\.00000|(?=\d++\.)[\d.]{17}))"
-    r"|\\u(?:00[01]|[dD][89a-fA-F])"
+# -0, exponents, trailing zeros, tiny or very long numbers; control and surrogate escapes.
+_ODD_NUMBER = (
+    r"[:\[,\s]-?+(?=\d)"
+    r"(?:(?<=-)0(?![.\d])|\d{19}|\d++(?:\.\d++)?[eE]|\d++\.\d*0(?!\d)|0\.00000|(?=\d++\.)[\d.]{17})"
 )
+_ODD_ESCAPE = r"\\u(?:00[01]|[dD][89a-fA-F])"
 
 _LONE_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 
@@ -76,14 +81,32 @@ def decode_base64(body: Column) -> Column:
     return F.when(valid_base64(body), F.unbase64(body))
 
 
-def canonical_json(text: Column) -> Column:
-    """Compact JSON with sorted keys; null when not one JSON value or a key repeats."""
-    guard = F.hex(F.xxhash64(text))
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), guard, F.lit('"]')))
-    whole = F.variant_get(wrapped, "$[2]", "variant").isNull() & (
-        F.try_variant_get(wrapped, "$[1]", "string") == guard
+def guarded_json(text: Column) -> Column:
+    """Parse ``text`` in an array before its own hash, so that trailing junk shows."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), _text_hash(text), F.lit('"]')))
+
+
+def canonical_json(parsed: Column, text: Column) -> Column:
+    """Compact JSON with sorted keys; null when not one JSON value or a key repeats.
+
+    ``parsed`` is :func:`guarded_json` of ``text``, best held in a column: it is
+    used three times here.
+    """
+    whole = F.variant_get(parsed, "$[2]", "variant").isNull() & (
+        F.try_variant_get(parsed, "$[1]", "string") == _text_hash(text)
     )
-    return F.when(whole, F.to_json(F.variant_get(wrapped, "$[0]", "variant")))
+    return F.when(whole, F.to_json(F.variant_get(parsed, "$[0]", "variant")))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.hex(F.xxhash64(text))
+
+
+def prints_alike(text: Column) -> Column:
+    """VARIANT prints these numbers and escapes as they must come out."""
+    odd_number = F.concat(F.lit(" "), text).rlike(_ODD_NUMBER)
+    odd_escape = F.contains(text, F.lit("\\u")) & text.rlike(_ODD_ESCAPE)
+    return ~(odd_number | odd_escape)
 
 
 def needs_tree(canonical: Column, passthrough: Collection[str] = ()) -> Column:
@@ -91,7 +114,7 @@ def needs_tree(canonical: Column, passthrough: Collection[str] = ()) -> Column:
     found = F.lit(False)
     private = _private_keys(passthrough)
     if private:
-        found = found | canonical.rlike(rf'(?i)(?<=[{{,])"(?:{any_case(private)})":[\[{{]')
+        found = found | canonical.rlike(rf'(?i){_key(private)}[\[{{]')
     if passthrough:
         exempt = "|".join(re.escape(json.dumps(k, ensure_ascii=False)[1:-1]) for k in sorted(passthrough))
         found = found | F.lower(canonical).rlike(rf'"(?:{exempt})":[\[{{]')
@@ -107,7 +130,7 @@ def redact_scalars(canonical: Column, passthrough: Collection[str] = ()) -> Colu
     private = _private_keys(passthrough)
     if not private:
         return canonical
-    pattern = rf'(?i)(?<=[{{,])("(?:{any_case(private)})":)(?:{_STRING}|{_SCALAR})'
+    pattern = rf"(?i)({_key(private)})(?:{_STRING}|{_SCALAR})"
     return F.regexp_replace(canonical, pattern, f'$1"{REDACTED}"')
 
 
@@ -122,20 +145,23 @@ def redact_bodies(
     Bodies of another content type stay as they are. So do JSON bodies that do not
     parse; these are flagged, because private values in them stay readable.
     """
-    json_body = F.when(is_json_type(F.col(content_type)), F.col(body))
-    canonical = F.when(~json_body.rlike(_TREE_ONLY_TEXT), canonical_json(json_body))
-    flat = F.when(
-        ~needs_tree(F.col("_canonical"), passthrough), redact_scalars(F.col("_canonical"), passthrough)
-    )
+    text = F.col(body)
+    is_json = is_json_type(F.col(content_type)) & text.isNotNull()
+    printable = F.when(is_json & prints_alike(text), text)
+    canonical = F.col("_canonical")
+    flat = F.when(~needs_tree(canonical, passthrough), redact_scalars(canonical, passthrough))
     walk = tree_redactor(passthrough)
-    is_json = is_json_type(F.col(content_type)) & F.col(body).isNotNull()
+    # Rows cross to Python whole, so each carries its body once: in _done or in _left.
     return (
-        df.withColumn("_canonical", canonical)
-        .withColumn("_flat", flat)
-        .withColumn("_tree", walk(F.when(is_json & F.col("_flat").isNull(), F.col(body))))
-        .withColumn("body_redacted", F.coalesce("_flat", "_tree", F.col(body)))
-        .withColumn("body_unparsed", is_json & F.col("_flat").isNull() & F.col("_tree").isNull())
-        .drop("_canonical", "_flat", "_tree")
+        df.withColumn("_json", printable)
+        .withColumn("_parsed", guarded_json(F.col("_json")))
+        .withColumn("_canonical", canonical_json(F.col("_parsed"), F.col("_json")))
+        .withColumn("_done", F.when(is_json, flat).otherwise(text))
+        .withColumn("_left", F.when(is_json & F.col("_done").isNull(), text))
+        .withColumn("_tree", walk(F.col("_left")))
+        .withColumn("body_redacted", F.coalesce("_done", "_tree", "_left"))
+        .withColumn("body_unparsed", F.col("_left").isNotNull() & F.col("_tree").isNull())
+        .drop("_json", "_parsed", "_canonical", "_done", "_left", "_tree")
     )
 
 
@@ -151,6 +177,11 @@ def tree_redactor(passthrough: Collection[str] = ()):
     return walk
 
 
+def _key(names: list[str]) -> str:
+    """Regex for one of ``names`` as a key; starts with a fixed character to scan fast."""
+    return rf'"(?<=[{{,]")(?:{any_case(names)})":'
+
+
 def _private_keys(passthrough: Collection[str]) -> list[str]:
     return [k for k in PRIVATE_KEYS if k not in passthrough]
 

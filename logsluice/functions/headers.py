@@ -55,23 +55,23 @@ def _header_values(value: Column) -> Column:
 
 def remove_private_headers(headers: Column, passthrough: Collection[str] = ()) -> Column:
     """Drop private names, except those passed through; order is kept."""
-    dropped = [h for h in PRIVATE_HEADERS if h not in passthrough]
-    if not dropped:
-        return headers
-    return F.map_filter(headers, lambda name, _: ~F.lower(name).isin(dropped))
+    return F.map_filter(headers, lambda name, _: ~F.lower(name).isin(_private(passthrough)))
 
 
-def sendable_headers(headers: Column) -> Column:
-    """Drop names the client sets itself and names or values HTTP does not allow."""
+def clean_headers(headers: Column, passthrough: Collection[str] = ()) -> Column:
+    """Headers to send: no private names, none the client sets itself, no invalid ones.
+
+    Passing a name through does not exempt it from the client's own list. Invalid
+    values are dropped, as are headers left without a value; null becomes empty.
+    """
+    dropped = [*CLIENT_HEADERS, *_private(passthrough)]
+    present = F.coalesce(headers, F.create_map().cast(_EMPTY))
     named = F.map_filter(
-        headers,
-        lambda name, _: ~F.lower(name).isin(list(CLIENT_HEADERS)) & name.rlike(TOKEN),
+        present, lambda name, _: ~F.lower(name).isin(dropped) & name.rlike(TOKEN)
     )
     valued = F.transform_values(named, lambda _, vs: F.filter(vs, lambda v: v.rlike(FIELD_VALUE)))
     return F.map_filter(valued, lambda _, vs: F.size(vs) > 0)
 
 
-def clean_headers(headers: Column, passthrough: Collection[str] = ()) -> Column:
-    """The whole header chain; a null map becomes an empty one."""
-    present = F.coalesce(headers, F.create_map().cast(_EMPTY))
-    return sendable_headers(remove_private_headers(present, passthrough))
+def _private(passthrough: Collection[str]) -> list[str]:
+    return [h for h in PRIVATE_HEADERS if h not in passthrough]

@@ -31,20 +31,21 @@ def sanitize(records: DataFrame, options: JobOptions) -> DataFrame:
     keys = [c for c in records.columns if c not in fields]
     keep = options.passthrough
     encoded = is_base64(F.col("body_encoding"))
-    texts = records.withColumn("_body", F.when(~encoded, F.col("body")))
-    redacted = redact_bodies(texts, keep, body="_body")
-    query = redact_query(F.col("query"), keep)
-    body = F.when(encoded, decode_base64(F.col("body"))).otherwise(
-        F.encode("body_redacted", "UTF-8")
+    prepared = (
+        records.withColumn("sanitize_error", sanitize_error())
+        .withColumn("_bytes", F.when(encoded, decode_base64(F.col("body"))))
+        .withColumn("_text", F.when(~encoded, F.col("body")))
+        .withColumn("query", redact_query(F.col("query"), keep))
     )
+    redacted = redact_bodies(prepared, keep, body="_text")
     requests = redacted.select(
         *keys,
         "method",
-        request_url(options.base_url, F.col("path"), query).alias("url"),
+        request_url(options.base_url, F.col("path"), F.col("query")).alias("url"),
         clean_headers(F.col("headers"), keep).alias("headers"),
-        body.alias("body"),
+        F.coalesce("_bytes", F.encode("body_redacted", "UTF-8")).alias("body"),
         "content_type",
-        sanitize_error().alias("sanitize_error"),
+        "sanitize_error",
         "body_unparsed",
     )
     for step in options.extra_sanitizers:

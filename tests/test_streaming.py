@@ -1,0 +1,91 @@
+
+import pytest
+from pyspark.sql import functions as F
+
+from logsluice import JobOptions
+from logsluice.operators.stats import stats_report
+from logsluice.plans import jobs
+from logsluice.sources.lines import read_lines, stream_lines
+from logsluice.sources.outcomes import stream_outcomes
+from logsluice.streaming.jobs import (
+    disposed_lines,
+    late_rows_dropped,
+    start_request_stream,
+    start_window_stats,
+    window_report,
+)
+
+LINES = [
+    '{"method":"GET","path":"/api/a","query":"?token=1","timestamp":"2025-10-10T14:32:11Z"}',
+    '{"method":"POST","path":"/api/b","body":"{\\"ssn\\":1}","content_type":"application/json"}',
+    '{"method":"POST","path":"/api/c","body":"x","body_encoding":"base64"}',
+    '{"method":"GET","path":"/other","body":"{\\"ssn\\":1}"}',
+    "",
+    "bad",
+]
+OPTIONS = JobOptions.create("http://h/", path_prefixes=["/api"])
+OUTCOMES = "ts timestamp, status int, latency_us bigint, error string, was_dry_run boolean"
+
+
+def test_stream_equals_batch_and_resumes(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.ndjson").write_text("\n".join(LINES))
+        query = start_request_stream(
+            stream_lines(spark, source, max_files_per_trigger=1), OPTIONS, out, checkpoint, availableNow=True
+        )
+        query.awaitTermination()
+    columns = ["disposition", "ts", "method", "url", F.col("body").cast("string").alias("body"), "value"]
+    stored = spark.read.parquet(out)
+    batch = disposed_lines(read_lines(spark, source), OPTIONS)
+    assert sorted(map(str, stored.select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
+    counts = {r.disposition: r["count"] for r in stored.groupBy("disposition").count().collect()}
+    assert counts == {"request": 6, "sanitize_error": 3, "filtered": 3, "blank": 3, "json_error": 3}
+    assert {r.url for r in stored.where("url is not null").collect()} == {
+        "http://h/api/a?token=[REDACTED]",
+        "http://h/api/b",
+    }
+    assert {r.value for r in stored.where("disposition = 'filtered'").collect()} == {None}
+    requests = jobs.sanitized_requests(read_lines(spark, source), OPTIONS)
+    assert requests.count() == counts["request"]
+
+
+def test_streams_refuse_a_limit(spark, tmp_path):
+    limited = JobOptions.create("http://h", max_records=1)
+    with pytest.raises(ValueError):
+        disposed_lines(stream_lines(spark, str(tmp_path)), limited)
+
+
+def write_outcomes(spark, path, rows):
+    df = spark.createDataFrame(rows, "s bigint, status int, latency_us bigint, error string, was_dry_run boolean")
+    df.select(F.timestamp_seconds("s").alias("ts"), *df.columns[1:]).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_windows_match_batch_and_late_rows_are_dropped(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    first = [(i * 7, [200, 404, None][i % 3], i * 1000, "timeout" if i % 3 == 2 else None, i % 10 == 0) for i in range(100)]
+    late = [(5, 200, 10, None, False)] * 4
+    closing = [(5_000, 200, 10, None, False)]
+
+    def run(rows):
+        write_outcomes(spark, source, rows)
+        schema = spark.read.parquet(source).schema
+        query = start_window_stats(
+            stream_outcomes(spark, source, schema, "ts"), "2 minutes", "30 seconds", out, checkpoint, availableNow=True
+        )
+        query.awaitTermination()
+        return query
+
+    run(first)
+    dropped = late_rows_dropped(run(late))
+    assert 1 <= dropped <= len(late)
+    run(closing)
+    got = {r.window_start: r for r in window_report(spark.read.parquet(out)).collect()}
+    rows = spark.createDataFrame(first, "s bigint, status int, latency_us bigint, error string, was_dry_run boolean")
+    windowed = rows.withColumn("ts", F.timestamp_seconds("s")).withColumn("w", F.window("ts", "2 minutes")["start"])
+    expected = {r.w: r for r in stats_report(windowed, "w").collect()}
+    assert set(got) == set(expected) and len(got) == 6
+    for start, row in expected.items():
+        for name in ("attempted", "succeeded", "failed", "status_distribution", "error_categories", "p50_us", "p99_us"):
+            assert got[start][name] == row[name]
