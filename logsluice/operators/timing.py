@@ -34,7 +34,7 @@ def peak_in_flight(outcomes: DataFrame) -> DataFrame:
         F.struct((start + F.col("latency_us")).alias("at"), F.lit(-1).cast("bigint").alias("delta")),
     )
     instants = (
-        outcomes.where(F.col("latency_us") > 0)
+        outcomes.where((F.col("latency_us") > 0) & F.col("ts").isNotNull())
         .select(F.inline(edges))
         .groupBy("at")
         .agg(F.sum("delta").alias("net"))
@@ -67,30 +67,39 @@ def _sum_before(window) -> Column:
     return F.coalesce(F.sum("net").over(earlier), F.lit(0))
 
 
-def replay_schedule(requests: DataFrame, key: str) -> DataFrame:
+def replay_schedule(requests: DataFrame, key: str, slice_secs: int = 60) -> DataFrame:
     """Gap to the previous request of the same ``key`` and offset from its first, in microseconds.
 
-    Rows are ordered within one minute of one key. What a minute needs to know of
+    Rows are ordered within ``slice_secs`` of one key. What a slice needs to know of
     the earlier ones, the key's first and latest time, comes from one row per key
-    and minute.
+    and slice. Requests without a time have neither gap nor offset; those without
+    a key are one group.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = requests.select("line_no", key, at.alias("at")).withColumn(
-        "slice", F.expr("at div 60000000")
+    # A struct is never null and equals another with a null inside, so one plain
+    # equi-join serves missing keys too and shares its partitioning with the window.
+    rows = requests.select("line_no", F.struct(key).alias("of"), at.alias("at"))
+    timed = rows.where(F.col("at").isNotNull()).withColumn(
+        "slice", F.expr(f"at div {slice_secs * 1_000_000}")
     )
-    slices = rows.groupBy(key, "slice").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    over_key = Window.partitionBy(key).orderBy("slice")
+    slices = timed.groupBy("of", "slice").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    over_key = Window.partitionBy("of").orderBy("slice")
     carried = slices.select(
-        key,
+        "of",
         "slice",
         F.lag("high").over(over_key).alias("previous_high"),
         F.first("low").over(over_key).alias("first_at"),
     )
-    in_slice = Window.partitionBy(key, "slice").orderBy("at", "line_no")
+    in_slice = Window.partitionBy("of", "slice").orderBy("at", "line_no")
     previous = F.coalesce(F.lag("at").over(in_slice), F.col("previous_high"))
-    return rows.join(carried, [key, "slice"]).select(
+    scheduled = timed.join(carried, ["of", "slice"]).select(
         "line_no",
-        key,
+        f"of.{key}",
         (F.col("at") - previous).alias("gap_us"),
         (F.col("at") - F.col("first_at")).alias("offset_us"),
     )
+    unknown = F.lit(None).cast("bigint")
+    untimed = rows.where(F.col("at").isNull()).select(
+        "line_no", f"of.{key}", unknown.alias("gap_us"), unknown.alias("offset_us")
+    )
+    return scheduled.unionByName(untimed)
