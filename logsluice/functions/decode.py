@@ -43,7 +43,7 @@ def guarded_parse(text: Column) -> Column:
 
 def is_whole(items: Column, text: Column) -> Column:
     """The text of :func:`guarded_parse` was one JSON object and nothing else."""
-    guard = F.get(items, F.lit(1))["method"].cast("string")
+    guard = F.get(items, F.lit(1))["method"].try_cast("string")
     one_object = (F.size(items) == 2) & F.get(items, F.lit(0)).isNotNull()
     return F.coalesce(one_object & (guard == _text_hash(text)), F.lit(False))
 
@@ -65,18 +65,18 @@ def is_text(value: Column) -> Column:
 
 
 def text_value(value: Column) -> Column:
-    return value.cast("string")
+    return value.try_cast("string")
 
 
 def is_status_or_null(value: Column) -> Column:
     """Integer literal in 0..65535; quoted, fractional or out-of-range values fail."""
     kind = _variant_type(value)
-    in_range = F.when(kind == "BIGINT", value.cast("bigint").between(0, 65535)).otherwise(kind == "VOID")
+    in_range = F.when(kind == "BIGINT", value.try_cast("bigint").between(0, 65535)).otherwise(kind == "VOID")
     return F.coalesce(in_range, F.lit(True))
 
 
 def status_value(value: Column) -> Column:
-    return value.cast("int")
+    return value.try_cast("int")
 
 
 def headers_well_formed(raw_headers: Column, text: Column) -> Column:

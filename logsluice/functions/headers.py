@@ -46,9 +46,12 @@ def _header_values(value: Column) -> Column:
     """One JSON header value: a string, the strings of a list, or its JSON text."""
     kind = F.schema_of_variant(value)
     members = F.filter(value.try_cast("array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    # VARIANT forgets that a number like 1.0 was written with a fraction; its type does not.
+    whole_fraction = kind.rlike(r"^DECIMAL\((?:\d|1[0-8]),0\)\z")
     return (
-        F.when(kind == "STRING", F.array(value.cast("string")))
-        .when(kind.startswith("ARRAY"), F.transform(members, lambda v: v.cast("string")))
+        F.when(kind == "STRING", F.array(value.try_cast("string")))
+        .when(kind.startswith("ARRAY"), F.transform(members, lambda v: v.try_cast("string")))
+        .when(whole_fraction, F.array(F.concat(F.to_json(value), F.lit(".0"))))
         .otherwise(F.array(F.to_json(value)))
     )
 

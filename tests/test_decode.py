@@ -128,6 +128,27 @@ def test_header_shapes(numbered):
     assert got[4] == [("a", ["3"]), ("b", [])]
 
 
+def test_number_headers(numbered):
+    line = '{"method":"GET","path":"/","headers":{"a":1.0,"b":3.10,"c":200,"d":0.5,"e":1e2,"f":-7}}'
+    row = classify_lines(numbered([line])).select("headers").first()
+    assert row[0] == {"a": ["1.0"], "b": ["3.1"], "c": ["200"], "d": ["0.5"], "e": ["100.0"], "f": ["-7"]}
+
+
+def test_hostile_lines_do_not_stop_the_job(numbered):
+    deep = "[" * 5000 + "]" * 5000
+    lines = [
+        '{"a":1},{"method":{"x":1}}] tail',
+        '{"a":1},{"method":[1]}]',
+        f'{{"method":"GET","path":"/","headers":{{"a":{deep}}}}}',
+        f'{{"method":{deep},"path":"/"}}',
+        deep,
+        '{"method":"GET","path":"/","status":' + "9" * 400 + "}",
+        "[" * 5000,
+        '{"a' * 3000,
+    ]
+    assert set(classes(numbered, lines)) == {"json_error"}
+
+
 def test_rejects_keep_their_text(numbered):
     rows = rejected_lines(classify_lines(numbered([GET, "bad", "", b"\xff"]))).collect()
     assert {(r.line_no, r.line_class) for r in rows} == {(1, "json_error"), (3, "io_error")}
