@@ -279,7 +279,7 @@ def stream_requests(spark, sf):
     base = views.scratch_dir(spark)
     source = _written_lines(spark, views.full_lines(spark, sf))
     query = start_request_stream(
-        stream_lines(spark, source, max_files_per_trigger=2),
+        stream_lines(spark, source, max_files_per_trigger=4),
         API_READS,
         f"{base}/out",
         f"{base}/checkpoint",
