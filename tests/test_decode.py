@@ -155,7 +155,7 @@ def test_rejects_keep_their_text(numbered):
     assert [r.value for r in rows if r.line_no == 1] == ["bad"]
 
 
-def _reference_class(line):
+def _plain_class(line):
     text = line.strip("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
     if not text:
         return "blank"
@@ -194,4 +194,4 @@ _lines = st.one_of(
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(_lines, min_size=150, max_size=200))
 def test_classes_agree_with_a_plain_parser(numbered, lines):
-    assert classes(numbered, lines) == [_reference_class(line) for line in lines]
+    assert classes(numbered, lines) == [_plain_class(line) for line in lines]
