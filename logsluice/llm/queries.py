@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, packing
+from logsluice.llm import chat, licences, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,34 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(given.unionByName(extra)))
 
 
+#: Scores from which a document counts as good.
+GOOD = 0.7
+
+
+def _remainder(column: str, divisor: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learned from labelled documents that are not held out."""
+    labels, docs = (_table(spark, sf_dir, name) for name in ("labels", "documents"))
+    return quality.train(docs, labels, usable=_remainder("labelled_id", 4) != 2)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality_model(spark, sf_dir)).select(
+        "doc_id",
+        (_remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -43,5 +71,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_license_scans": op6_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
