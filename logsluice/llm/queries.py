@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, licences, packing, quality
+from logsluice.llm import chat, fingerprint, licences, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -73,5 +77,6 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_license_scans": op6_license_scans,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
