@@ -87,25 +87,30 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     examples = texts.join(sample, "labelled_id").groupBy("labelled_id", "label").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list] = {}
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            labels_of = batch.column(0).to_numpy()
+            data, offsets = text_bytes(batch.column(2))
+            learners, labels_of = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for lo, hi in row_groups(offsets):
                 row, bucket, value = features(data, offsets[lo : hi + 1], settings)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                held += [(bucket[a:b], value[a:b], y) for a, b, y in zip(cuts, cuts[1:], labels_of[lo:hi], strict=False)]
-        if held:
-            weights, bias = _ftrl(held, settings)
-            yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]})
-
-    dealt = examples.withColumn("_order", F.xxhash64("labelled_id")).repartition(settings.learners, "_order")
-    dealt = dealt.sortWithinPartitions("_order", "labelled_id").select(F.col("label").cast("double"), "text")
-    learned = dealt.mapInArrow(learn, "weights binary, bias double").collect()
-    if not learned:
-        return Model(np.zeros(1 << settings.bits), 0.0, settings)
-    mean = np.mean([np.frombuffer(r["weights"]) for r in learned], axis=0)
-    return Model(mean, float(np.mean([r["bias"] for r in learned])), settings)
+                for i, a, b in zip(range(lo, hi), cuts, cuts[1:], strict=False):
+                    held.setdefault(learners[i], []).append((bucket[a:b], value[a:b], labels_of[i]))
+        for own in held.values():
+            weights, bias = _ftrl(own, settings)
+            at = np.flatnonzero(weights)
+            columns = {"at": pa.array([at], pa.list_(pa.int64())), "weights": pa.array([weights[at]], pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_pydict(columns | {"bias": [bias]})
+
+    order = F.xxhash64("labelled_id")
+    dealt = examples.select(F.pmod(order, F.lit(settings.learners)).cast("int").alias("learner"), F.col("label").cast("double"), "text", order.alias("order"), "labelled_id")
+    dealt = dealt.repartition(settings.learners, "learner").sortWithinPartitions("learner", "order", "labelled_id")
+    learned = dealt.select("learner", "label", "text").mapInArrow(learn, "at array<long>, weights array<double>, bias double").collect()
+    total = np.zeros(1 << settings.bits)
+    for r in learned:
+        total[r["at"]] += r["weights"]
+    n = max(1, len(learned))
+    return Model(total / n, sum(r["bias"] for r in learned) / n, settings)
 
 
 def _logistic(x):
