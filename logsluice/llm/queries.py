@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, licences, packing, quality
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder("doc_id", 10) == 0, F.lit(False))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.where(~held_out)))
+    return scored.withColumn("held_out", held_out)
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -76,6 +83,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_license_scans": op6_license_scans,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
