@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return voronoi.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -86,5 +91,6 @@ QUERIES: dict[str, Query] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_license_scans": op6_license_scans,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
