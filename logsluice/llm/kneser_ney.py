@@ -9,7 +9,7 @@ dealt by the whole pair, so no task gets all of them. Shards grow in number with
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,100 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsluice.llm.counted import SLICE, counting, dealt, hash_shard, packed, slice_schema, sums_by_shard
 from logsluice.llm.scale import parts, shared_folder
 from logsluice.llm.shared_arrays import SharedArrays
 from logsluice.llm.words import mix, row_groups, split_words, text_bytes
 
 SHARD_BYTES = 16 << 20
-#: Distinct entries a counting task holds before it passes them on.
-HELD = 1 << 21
 #: A word with at least this part of all tokens has its pairs dealt by the whole pair.
 HOT = 1000
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_SLICE = "shard int, low binary, high binary, counts binary"
-
-
-def _packed(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-    """Sorted keys as differences in two halves, the upper of which is mostly zeros."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    low, high = (steps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (steps >> np.uint64(32)).astype(np.uint32)
-    return {"shard": shard, "low": low.tobytes(), "high": high.tobytes(), "counts": counts.astype(np.uint64).astype(np.uint32).tobytes()}
-
-
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    low, high = (np.frombuffer(row[k], np.uint32).astype(np.uint64) for k in ("low", "high"))
-    return np.cumsum((high << np.uint64(32)) | low, dtype=np.uint64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-
-
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
-
-
-def _counting(keys_of: Callable, shard_of: Callable) -> Callable:
-    """A task that counts the keys of texts and sends each shard a sorted slice."""
-
-    def passed_on(held: list) -> Iterator[pa.RecordBatch]:
-        keys, counts = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        shards = shard_of(keys)
-        order = np.argsort(shards, kind="stable")
-        keys, counts, shards = keys[order], counts[order], shards[order]
-        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                yield pa.RecordBatch.from_pylist([_packed(int(shards[a]), keys[a:b], counts[a:b])], _schema())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for lo, hi in row_groups(offsets):
-                keys, counts = np.unique(keys_of(data, offsets[lo : hi + 1]), return_counts=True)
-                held.append((keys, counts))
-                size += len(keys)
-                if size > HELD:
-                    held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield from passed_on(held)
-                        held, size = [], 0
-        if held:
-            yield from passed_on(held)
-
-    return count
-
-
-def _schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())])
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The summed keys of each shard of a partition that is sorted by shard."""
-    held: dict[int, list] = {}
-
-    def added() -> tuple[int, np.ndarray, np.ndarray]:
-        (shard, slices), = held.items()
-        held.clear()
-        return shard, *_added(*(np.concatenate(x) for x in zip(*slices, strict=True)))
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["shard"] not in held:
-                yield added()
-            held.setdefault(row["shard"], []).append(_unpacked(row))
-    if held:
-        yield added()
-
-
-def _dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "shard").sortWithinPartitions("shard")
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts of the counts 0, 1, 2, and 3 or more, from how many counts are 1 to 4.
 
@@ -165,7 +81,7 @@ class Reader:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct word hashes; -1 where the word is unknown."""
         found = np.full(len(hashes), -1, dtype=np.int64)
-        shards = word_shard(hashes, self.model.shards)
+        shards = hash_shard(hashes, self.model.shards)
         for k in np.unique(shards).tolist():
             a, b = np.searchsorted(shards, [k, k + 1])
             base, end = self.model.bases[k : k + 2]
@@ -237,11 +153,6 @@ def _reader(model: Model) -> Reader:
     return Reader(model)
 
 
-def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of the hash, in order."""
-    return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-
-
 def _sequences(data: np.ndarray, offsets: np.ndarray, reader: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, predecessor and token of each token, as word numbers; a start has the number after the last."""
     words = split_words(data, offsets)
@@ -277,7 +188,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     texts = docs.select(F.col("text").cast("string"))
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, hashes, counts in _shards(batches):
+        for shard, hashes, counts in sums_by_shard(batches):
             arrays.write(f"words-{shard}", hashes)
             if counts.max() >= 1 << 32:
                 raise OverflowError("a word has 2**32 tokens or more")
@@ -289,8 +200,8 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
                  "often": [often.tolist()], "often_n": [counts[often].tolist()]}
             )
 
-    counted = texts.mapInArrow(_counting(_word_keys, lambda h: word_shard(h, shards)), _SLICE)
-    written = _dealt(counted, shards).mapInArrow(
+    counted = texts.mapInArrow(counting(_word_keys, lambda h: hash_shard(h, shards)), SLICE)
+    written = dealt(counted, shards).mapInArrow(
         write_words, "shard long, n long, tokens long, texts long, often array<long>, often_n array<long>"
     )
     found = {r["shard"]: r for r in written.collect()}
@@ -314,7 +225,7 @@ def _with_pairs(texts: DataFrame, model: Model) -> Model:
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.array(model.hot)
-        for shard, keys, counts in _shards(batches):
+        for shard, keys, counts in sums_by_shard(batches):
             large = np.flatnonzero(counts >= 255)
             arrays.write(f"pairs-{shard}", keys)
             arrays.write(f"pair-counts-{shard}", np.minimum(counts, 255).astype(np.uint8))
@@ -326,12 +237,12 @@ def _with_pairs(texts: DataFrame, model: Model) -> Model:
             is_hot = np.isin(own, hot)
             arrays.write(f"contexts-{shard}", np.concatenate([x[~is_hot].astype(np.uint32) for x in (own, *kinds)]))
             told = np.concatenate([[np.count_nonzero(counts == c) for c in (1, 2, 3, 4)], [len(keys)], own[is_hot], *(x[is_hot] for x in kinds)])
-            yield pa.RecordBatch.from_pylist([{"shard": -1, "low": None, "high": None, "counts": told.astype(np.int64).tobytes()}], _schema())
+            yield pa.RecordBatch.from_pylist([{"shard": -1, "low": None, "high": None, "counts": told.astype(np.int64).tobytes()}], slice_schema())
             after, before = np.unique(second, return_counts=True)
             cuts = np.searchsorted(after, np.array(model.bases, dtype=np.uint64))
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
-                    yield pa.RecordBatch.from_pylist([_packed(k, after[a:b], before[a:b])], _schema())
+                    yield pa.RecordBatch.from_pylist([packed(k, after[a:b], before[a:b])], slice_schema())
 
     def write_predecessors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: list[bytes] = []
@@ -341,7 +252,7 @@ def _with_pairs(texts: DataFrame, model: Model) -> Model:
                 told.extend(r["counts"] for r in batch.to_pylist() if r["shard"] < 0)
                 yield batch.filter(pc.greater_equal(batch.column("shard"), 0))
 
-        for shard, numbers, counts in _shards(slices()):
+        for shard, numbers, counts in sums_by_shard(slices()):
             base, end = model.bases[shard : shard + 2]
             before = np.zeros(end - base, dtype=np.uint32)
             before[numbers.astype(np.int64) - base] = counts
@@ -351,9 +262,9 @@ def _with_pairs(texts: DataFrame, model: Model) -> Model:
         if told:
             yield pa.RecordBatch.from_pydict({"kind": pa.array([0] * len(told)), "told": pa.array(told, pa.binary())})
 
-    counted = texts.mapInArrow(_counting(pair_keys, lambda keys: _reader(model).pair_shard(keys)), _SLICE)
-    pairs = _dealt(counted, model.shards).mapInArrow(write_pairs, _SLICE)
-    told = _dealt(pairs, model.shards).mapInArrow(write_predecessors, "kind long, told binary").collect()
+    counted = texts.mapInArrow(counting(pair_keys, lambda keys: _reader(model).pair_shard(keys)), SLICE)
+    pairs = dealt(counted, model.shards).mapInArrow(write_pairs, SLICE)
+    told = dealt(pairs, model.shards).mapInArrow(write_predecessors, "kind long, told binary").collect()
     for k in range(model.shards):  # shards to which no pair was dealt
         _fill_missing(arrays, k)
     kinds: dict[int, np.ndarray] = {0: np.zeros(5, np.int64), 1: np.zeros(5, np.int64)}

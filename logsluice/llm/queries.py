@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality, voronoi
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality, shingle_join, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(given.unionByName(extra)))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Scores from which a document counts as good.
 GOOD = 0.7
 
@@ -87,6 +91,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_license_scans": op6_license_scans,

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from logsluice.llm import kneser_ney, words
+from logsluice.llm import counted, kneser_ney, words
 from logsluice.llm.shared_arrays import SharedArrays
 
 RNG = random.Random(4)
@@ -65,7 +65,7 @@ class Brute:
 @pytest.mark.parametrize("shard_bytes, held, hot", [(1 << 30, 1 << 21, 1000), (900, 40, 20), (900, 10, 1)])
 def test_scores_equal_the_formulas(spark, tmp_path, monkeypatch, shard_bytes, held, hot):
     monkeypatch.setattr(kneser_ney, "SHARD_BYTES", shard_bytes)
-    monkeypatch.setattr(kneser_ney, "HELD", held)
+    monkeypatch.setattr(counted, "HELD", held)
     monkeypatch.setattr(kneser_ney, "HOT", hot)
     brute = Brute(TEXTS)
     file = str(tmp_path / "docs")
