@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from logsluice.llm.words import row_groups, text_bytes
 
 #: Distinct entries a counting task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
 SLICE = "shard int, low binary, high binary, counts binary"
 
 

@@ -24,7 +24,7 @@ from logsluice.llm.scale import parts, shared_folder
 from logsluice.llm.shared_arrays import SharedArrays
 from logsluice.llm.words import mix, row_groups, split_words, text_bytes
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: A word with at least this part of all tokens has its pairs dealt by the whole pair.
 HOT = 1000
 END = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality, shingle_join, voronoi
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, quality, repeats, shingle_join, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, repeats.find_repeats(docs), kept_as=None).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -98,4 +103,5 @@ QUERIES: dict[str, Query] = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

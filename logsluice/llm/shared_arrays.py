@@ -27,6 +27,12 @@ class SharedArrays:
             out.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
         store.move(part, f"{root}/{name}")
 
+    def names(self) -> set[str]:
+        """Of the arrays that are there."""
+        store, root = self._at()
+        files = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return {f.base_name for f in files if f.is_file and not f.base_name.startswith(".")}
+
     def read(self, name: str, dtype) -> np.ndarray:
         """Mapped where the folder is mounted; else a copy is mapped that goes with the process."""
         store, root = self._at()

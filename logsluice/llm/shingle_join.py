@@ -29,7 +29,7 @@ from logsluice.llm.scale import parts, saved, shared_folder
 from logsluice.llm.shared_arrays import SharedArrays
 from logsluice.llm.words import mix, ngrams, row_groups, split_words, text_bytes
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Orders beside the first.
 MORE_ORDERS = 2
 
