@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from logsluice.llm.words import row_groups, text_bytes
 
 #: Distinct entries a counting task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 18
 SLICE = "shard int, low binary, high binary, counts binary"
 
 
@@ -65,6 +65,7 @@ def counting(keys_of: Callable, shard_of: Callable) -> Callable:
                         held, size = [], 0
         if held:
             yield from passed_on(held)
+        pa.default_memory_pool().release_unused()
 
     return count
 

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from logsluice.llm.words import byte_set, split_words
+from logsluice.llm.words import Words, byte_set, split_words
 
 #: Words a worker remembers; beyond that it forgets all of them and goes on.
 REMEMBERED = 1 << 21
@@ -23,52 +23,27 @@ def _points(lower: np.ndarray) -> np.ndarray:
     return found
 
 
-class WordIds:
-    """Ids by a tokenizer that drops white space and lower-cases, so that it works word by word.
+class RememberedIds:
+    """Ids of texts whose words are encoded one by one and remembered by a 64-bit hash."""
 
-    Its pattern must end a token at a space or line break and between a letter and a point or
-    comma, and letters A-Z must count as a-z, as in the vocabulary this is used with; then the
-    ids of a text are those of its words in order. Words are remembered by a 64-bit hash.
-    """
+    def __init__(self):
+        self._forget()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        raise NotImplementedError
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._zero = self._encode(["0"])[0]
-        self._forget()
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        raise NotImplementedError
+
+    def _text(self, data: np.ndarray, words: Words, i: int) -> str:
+        return data[words.starts[i] : words.ends[i]].tobytes().decode()
 
     def _forget(self) -> None:
         self._keys = np.zeros(0, np.uint64)
         self._at = self._sizes = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32) for x in found]
-
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Many words a call, with the digit 0 between them, unless they hold one."""
-        ids: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if "0" not in w]
-        held = set(plain)
-        alone = [i for i in range(len(words)) if i not in held]
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        joined = self._encode([" 0 ".join(words[i] for i in group) for group in groups])
-        for group, found in zip(groups, joined, strict=True):
-            cuts = np.flatnonzero(found == self._zero[0])
-            if len(cuts) != len(group) - 1:
-                alone += group
-                continue
-            for i, part in zip(group, np.split(found, cuts), strict=True):
-                ids[i] = part[1:] if i != group[0] else part
-        for i, part in zip(alone, self._encode([words[i] for i in alone]), strict=True):
-            ids[i] = part
-        return ids
-
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self._keys) + len(hashes) > REMEMBERED:
-            self._forget()
         found = self._encode_words(words)
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         at = len(self._ids) + np.cumsum(sizes) - sizes
@@ -77,11 +52,11 @@ class WordIds:
         self._keys = keys[order]
         self._at = np.concatenate([self._at, at])[order]
         self._sizes = np.concatenate([self._sizes, sizes])[order]
-        self._ids = np.concatenate([self._ids, *found])
+        self._ids = np.concatenate([self._ids, *found]).astype(np.uint32)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows, each closed by ``end``, and the place where each row's ids begin."""
-        words = split_words(data, offsets, _SEPARATORS, _points)
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, each closed by ``end`` if given, and the place where each row's ids begin."""
+        words = self._split(data, offsets)
         distinct, first, each = np.unique(words.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self._keys, distinct)
         known = place < len(self._keys)
@@ -90,13 +65,14 @@ class WordIds:
             if len(self._keys) + np.count_nonzero(~known) > REMEMBERED:
                 self._forget()
                 known[:] = False
-            texts = [data[words.starts[i] : words.ends[i]].tobytes().decode() for i in first[~known]]
-            self._learn(distinct[~known], texts)
+            self._learn(distinct[~known], [self._text(data, words, i) for i in first[~known].tolist()])
             place = np.searchsorted(self._keys, distinct)
         of_word = place[each]
         sizes = self._sizes[of_word]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         body = self._ids[np.repeat(self._at[of_word] - upto[:-1], sizes) + np.arange(upto[-1])]
+        if end is None:
+            return body, upto[words.first]
         rows = upto[words.first] + np.arange(len(words.first))
         ids = np.empty(len(body) + len(offsets) - 1, dtype=np.uint32)
         is_end = np.zeros(len(ids), dtype=bool)
@@ -106,6 +82,48 @@ class WordIds:
         return ids, rows
 
 
+class WordIds(RememberedIds):
+    """Ids by a tokenizer that drops white space and lower-cases, so that it works word by word.
+
+    Its pattern must end a token at a space or line break and between a letter and a point or
+    comma, and letters A-Z must count as a-z, as in the vocabulary this is used with; then the
+    ids of a text are those of its words in order.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self._tokenizer = Tokenizer.from_file(path)
+        self._zero = self._encode(["0"])[0]
+
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        return split_words(data, offsets, _SEPARATORS, _points)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.uint32) for x in found]
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Many words a call, with the digit 0 between them, unless they hold one."""
+        ids: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if "0" not in w]
+        held = set(plain)
+        alone = [i for i in range(len(words)) if i not in held]
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        joined = self._encode([" 0 ".join(words[i] for i in group) for group in groups])
+        for group, found in zip(groups, joined, strict=True):
+            cuts = np.flatnonzero(found == self._zero[0])
+            if len(cuts) != len(group) - 1:
+                alone += group
+                continue
+            for i, part in zip(group, np.split(found, cuts), strict=True):
+                ids[i] = part[1:] if i != group[0] else part
+        for i, part in zip(alone, self._encode([words[i] for i in alone]), strict=True):
+            ids[i] = part
+        return ids
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One for each worker process."""

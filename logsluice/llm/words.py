@@ -10,13 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes for which temporary arrays are held at once; a longer word widens its block.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Bytes of texts whose word arrays are held at once; a longer text is a group of its own.
-GROUP = 1 << 22
+GROUP = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
+LOWER = AS_IS.copy()
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -108,20 +109,20 @@ def row_groups(offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, in
 
 
 def split_words(
-    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE_SPACE, breaks=None
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE_SPACE, breaks=None, fold: np.ndarray = LOWER
 ) -> Words:
-    """Maximal runs of bytes that are no separators, A-Z counted as a-z; none crosses a row.
+    """Maximal runs of bytes that are no separators once they are folded (A-Z to a-z); none crosses a row.
 
-    ``breaks`` may name further places where a word begins: a function of the lower-cased
-    bytes of a block (with the byte before and after it, or a space) that returns flags.
+    ``breaks`` may name further places where a word begins: a function of the folded bytes of a
+    block that returns flags. A block ends at a separator, or else at a break of two bytes.
     """
     starts, ends, hashes = [], [], []
     lo, end = int(offsets[0]), int(offsets[-1])
     while lo < end:
         hi = min(lo + BLOCK, end)
         if hi < end:
-            hi = _cut(data, offsets, separators, lo, hi, end)
-        block = _block_words(data, lo, hi, offsets, separators, breaks)
+            hi = _cut(data, offsets, separators, breaks, fold, lo, hi, end)
+        block = _block_words(data, lo, hi, offsets, separators, breaks, fold)
         for held, made in zip((starts, ends, hashes), block, strict=True):
             held.append(made)
         lo = hi
@@ -130,28 +131,35 @@ def split_words(
     return Words(*joined, hashed, np.searchsorted(joined[0], offsets))
 
 
-def _cut(data, offsets, separators, lo, hi, end) -> int:
-    """The last place in (lo, hi] where a block may end without cutting a word, else the next."""
+def _cut(data, offsets, separators, breaks, fold, lo, hi, end) -> int:
+    """A place in (lo, end] where a block may end without cutting a word: the last up to hi, else the next."""
+
+    def places(a: int, b: int) -> np.ndarray:
+        folded = fold[data[a:b]]
+        free = separators[folded]
+        if breaks is not None and not separators.any():
+            free = breaks(folded)
+        return np.flatnonzero(free)
+
     row = int(offsets[np.searchsorted(offsets, hi, side="right") - 1])
     for size in (1 << 12, hi - lo):
-        found = np.flatnonzero(separators[_LOWER[data[max(lo + 1, hi - size) : hi]]])
+        a = max(lo + 1, hi - size)
+        found = places(a, hi)
         if len(found):
-            return max(row, max(lo + 1, hi - size) + int(found[-1])) if row > lo else max(lo + 1, hi - size) + int(found[-1])
+            return max(row, a + int(found[-1]))
     if row > lo:
         return row
-    while hi < end:
-        found = np.flatnonzero(separators[_LOWER[data[hi : hi + BLOCK]]])
-        row = int(offsets[np.searchsorted(offsets, hi, side="left")])
+    row = int(offsets[np.searchsorted(offsets, hi, side="left")])
+    while hi < row:
+        found = places(hi - 1, min(hi + BLOCK, row))
         if len(found):
-            return min(row, hi + int(found[0]))
-        if row <= hi + BLOCK:
-            return min(row, end)
+            return hi - 1 + int(found[0])
         hi += BLOCK
-    return end
+    return min(row, end)
 
 
-def _block_words(data, lo, hi, offsets, separators, breaks):
-    lower = _LOWER[data[lo:hi]]
+def _block_words(data, lo, hi, offsets, separators, breaks, fold):
+    lower = fold[data[lo:hi]]
     inside = ~separators[lower]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
