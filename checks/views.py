@@ -7,12 +7,11 @@ each template instead.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsluice.sources.scratch import scratch_folder
+
 TRAFFIC = """
 SELECT
   event_id AS line_no,
@@ -156,6 +155,5 @@ def full_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='logsluice-')}/{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one; a local one only in local mode."""
+    return scratch_folder(spark)

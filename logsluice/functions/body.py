@@ -15,6 +15,7 @@ import math
 import re
 import sys
 from collections.abc import Collection
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -49,12 +50,14 @@ _BASE64_TEXT = (
     r"(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z"
 )
 
-# JSON whose compact text VARIANT and a float-based printer may render differently:
-# -0, exponents, trailing zeros, tiny or very long numbers; control and surrogate escapes.
+# JSON whose compact text VARIANT and a float-based printer may render differently: -0, exponents,
+# zero fractions, integers that may exceed 64 bits, tiny or very long numbers; control and surrogate
+# escapes; keys with characters beyond U+FFFF, which VARIANT sorts by UTF-16 units.
 _ODD_NUMBER = (
     r"[:\[,\s]-?+(?=\d)"
-    r"(?:(?<=-)0(?![.\d])|\d{19}|\d++(?:\.\d++)?[eE]|\d++\.\d*0(?!\d)|0\.00000|(?=\d++\.)[\d.]{17})"
+    r"(?:(?<=-)0(?![.\d])|\d{20}|\d++(?:\.\d++)?[eE]|\d++\.0++(?!\d)|0\.00000|(?=\d++\.)[\d.]{17})"
 )
+_HIGH_KEY = r'[\x{10000}-\x{10FFFF}][^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:'
 _ODD_ESCAPE = r"\\u(?:00[01]|[dD][89a-fA-F])"
 
 _LONE_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
@@ -103,10 +106,12 @@ def _text_hash(text: Column) -> Column:
 
 
 def prints_alike(text: Column) -> Column:
-    """VARIANT prints these numbers and escapes as they must come out."""
-    odd_number = F.concat(F.lit(" "), text).rlike(_ODD_NUMBER)
+    """VARIANT prints these numbers, escapes and keys as they must come out."""
+    spaced = F.concat(F.lit(" "), text)
+    # What looks like such a number may stand in a string; only then strings are taken out.
+    odd_number = spaced.rlike(_ODD_NUMBER) & F.regexp_replace(spaced, _STRING, '""').rlike(_ODD_NUMBER)
     odd_escape = F.contains(text, F.lit("\\u")) & text.rlike(_ODD_ESCAPE)
-    return ~(odd_number | odd_escape)
+    return ~(odd_number | odd_escape | text.rlike(_HIGH_KEY))
 
 
 def needs_tree(canonical: Column, passthrough: Collection[str] = ()) -> Column:
@@ -186,50 +191,128 @@ def _private_keys(passthrough: Collection[str]) -> list[str]:
     return [k for k in PRIVATE_KEYS if k not in passthrough]
 
 
+_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([\[{\]},:])|(")|(-?(?:0|[1-9][0-9]*)((?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?))|(true|false|null))'
+)
+_END = re.compile(r"[ \t\n\r]*\Z")
+
+
+class _Level:
+    """An open list or object: printed members, and which keys are private or exempt in it."""
+
+    __slots__ = ("is_object", "members", "key", "private", "hidden")
+
+    def __init__(self, is_object: bool, private: frozenset[str], hidden: bool):
+        self.is_object, self.private, self.hidden = is_object, private, hidden
+        self.members = {} if is_object else []
+        self.key = None
+
+
 def _redact_text(text: str | None, private: frozenset[str], exempt: frozenset[str]) -> str | None:
+    """Compact text with sorted keys and private values replaced; null for bad JSON.
+
+    Open lists and objects are on a stack of their own, so nesting has no limit. No key is
+    private below an exempt one; nothing is printed below a private one.
+    """
     if text is None:
         return None
     try:
-        parsed = json.loads(text, parse_int=_number, parse_float=_finite, parse_constant=_reject)
-        if _LONE_SURROGATE.search(text) and _has_lone_surrogate(parsed):
-            return None
-        printed = _print_json(parsed, private, exempt)
-    except (ValueError, RecursionError):
+        return _joined(_walked(text, private, exempt))
+    except ValueError:
         return None
-    return printed
-
-
-def _print_json(value, private: frozenset[str], exempt: frozenset[str]) -> str:
-    """Compact text with sorted keys; no key is private below an exempt one."""
-    if isinstance(value, dict):
-        members = []
-        for key in sorted(value):
-            name = key.lower()
-            if name in exempt:
-                printed = _print_json(value[key], frozenset(), exempt)
-            elif name in private:
-                printed = f'"{REDACTED}"'
-            else:
-                printed = _print_json(value[key], private, exempt)
-            members.append(f"{json.dumps(key, ensure_ascii=False)}:{printed}")
-        return "{" + ",".join(members) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(_print_json(v, private, exempt) for v in value) + "]"
-    if isinstance(value, float):
-        return _float_text(value)
-    return json.dumps(value, ensure_ascii=False)
 
 
-def _has_lone_surrogate(value) -> bool:
-    try:
-        json.dumps(value, ensure_ascii=False).encode("utf-8")
-    except UnicodeEncodeError:
-        return True
-    return False
-
-
-def _reject(constant: str):
-    raise ValueError(f"{constant} is not JSON")
+def _walked(text: str, private: frozenset[str], exempt: frozenset[str]) -> list | str:
+    surrogates = _LONE_SURROGATE.search(text) is not None
+
+    def string(start: int) -> tuple[str, int]:
+        value, end = scanstring(text, start, True)
+        if surrogates:
+            value.encode("utf-8")
+        return value, end
+
+    levels: list[_Level] = []
+    top = _Level(False, private, False)
+    here, at, may_end, wants_comma = top, 0, False, False
+    while True:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ValueError("not JSON")
+        at = token.end()
+        sign = token[1]
+        if sign in ("]", "}") and (may_end or wants_comma) and levels and here.is_object == (sign == "}"):
+            closed, here = here, levels.pop()
+            _add(here, _printed(closed), private=here.private, exempt=exempt)
+        elif wants_comma:
+            if sign != ",":
+                raise ValueError("a comma is missing")
+            wants_comma = may_end = False
+            continue
+        else:
+            if here.is_object:
+                if token[2] is None:
+                    raise ValueError("a key is missing")
+                here.key, at = string(at)
+                colon = _TOKEN.match(text, at)
+                if colon is None or colon[1] != ":":
+                    raise ValueError("a colon is missing")
+                token = _TOKEN.match(text, colon.end())
+                if token is None:
+                    raise ValueError("a value is missing")
+                at, sign = token.end(), token[1]
+            if sign in ("[", "{"):
+                name = here.key.lower() if here.is_object else None
+                inner = frozenset() if name in exempt else here.private
+                hidden = here.hidden or (name not in exempt and name in here.private)
+                levels.append(here)
+                here, may_end = _Level(sign == "{", inner, hidden), True
+                continue
+            if sign is not None:
+                raise ValueError("a value is missing")
+            if token[2]:
+                value, at = string(at)
+                printed = json.dumps(value, ensure_ascii=False)
+            elif token[5]:
+                printed = token[5]
+            else:
+                number = _finite(token[3]) if token[4] else _number(token[3])
+                printed = _float_text(number) if isinstance(number, float) else str(number)
+            _add(here, printed, private=here.private, exempt=exempt)
+        wants_comma, may_end = True, False
+        if not levels:
+            if here is not top or _END.match(text, at) is None:
+                raise ValueError("something follows")
+            return top.members[0]
+
+
+def _add(level: _Level, printed: list | str, private: frozenset[str], exempt: frozenset[str]) -> None:
+    if not level.is_object:
+        level.members.append("" if level.hidden else printed)
+        return
+    name = level.key.lower()
+    hide = name in private and name not in exempt
+    level.members[level.key] = f'"{REDACTED}"' if hide else "" if level.hidden else printed
+
+
+def _printed(level: _Level) -> list:
+    """Nested lists of text, so that deep levels are not copied again and again."""
+    if level.hidden:
+        return []
+    if not level.is_object:
+        return ["[", [x for m in level.members for x in (",", m)][1:], "]"]
+    pairs = [x for k in sorted(level.members) for x in (",", json.dumps(k, ensure_ascii=False), ":", level.members[k])]
+    return ["{", pairs[1:], "}"]
+
+
+def _joined(parts: list | str) -> str:
+    found, waiting = [], [parts]
+    while waiting:
+        part = waiting.pop()
+        if isinstance(part, str):
+            found.append(part)
+        else:
+            waiting.extend(reversed(part))
+    return "".join(found)
 
 
 def _finite(digits: str) -> float:

@@ -12,8 +12,13 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Spark reads JSON more loosely than the JSON grammar unless told otherwise.
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Spark reads JSON more loosely than the JSON grammar unless told otherwise, and refuses strings
+# over 20 million characters.
+STRICT_JSON = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "maxStringLen": str(2**31 - 1),
+}
 
 TEXT_FIELDS = ("timestamp", "method", "path", "query", "body", "body_encoding", "content_type")
 
@@ -24,6 +29,10 @@ _RAW_RECORD = (
 )
 
 
+# A member of that name or an escaped one; VARIANT keeps no sign of zero.
+_MINUS_ZERO_STATUS = r'"(?:status|[^"]*\\u00[^"]*)"\s*:\s*-0\s*[,}]'
+
+
 def trim_white_space(text: Column) -> Column:
     """Trim Unicode white space; text that is already ``{...}`` skips the search."""
     bare = text.startswith("{") & text.endswith("}")
@@ -68,10 +77,12 @@ def text_value(value: Column) -> Column:
     return value.try_cast("string")
 
 
-def is_status_or_null(value: Column) -> Column:
-    """Integer literal in 0..65535; quoted, fractional or out-of-range values fail."""
+def is_status_or_null(value: Column, text: Column) -> Column:
+    """Integer literal in 0..65535; quoted, fractional or out-of-range values and -0 fail."""
     kind = _variant_type(value)
-    in_range = F.when(kind == "BIGINT", value.try_cast("bigint").between(0, 65535)).otherwise(kind == "VOID")
+    number = value.try_cast("bigint")
+    minus_zero = (number == 0) & text.rlike(_MINUS_ZERO_STATUS)
+    in_range = F.when(kind == "BIGINT", number.between(0, 65535) & ~minus_zero).otherwise(kind == "VOID")
     return F.coalesce(in_range, F.lit(True))
 
 
@@ -83,7 +94,16 @@ def headers_well_formed(raw_headers: Column, text: Column) -> Column:
     """False when the line has a ``headers`` member that is not an object.
 
     ``from_json`` turns such a member into null, as it does an absent one; only
-    lines that mention the name and came out null are looked at again.
+    lines that came out null and may hold the name, as it is or escaped, are looked
+    at again.
     """
+    may_name = F.contains(text, F.lit('"headers"')) | F.contains(text, F.lit("\\u"))
     shown = F.get_json_object(text, "$.headers")
-    return raw_headers.isNotNull() | ~F.contains(text, F.lit('"headers"')) | shown.isNull()
+    return raw_headers.isNotNull() | ~may_name | shown.isNull()
+
+
+def utc_timestamp(name: str) -> Column:
+    """The time of a text, in UTC where it names no zone, whatever the session's zone; else null."""
+    text = F.col(name)
+    forms = (F.concat(text, F.lit("Z")), F.concat(text, F.lit("T00:00:00Z")), text)
+    return F.coalesce(*(F.try_to_timestamp(form) for form in forms))

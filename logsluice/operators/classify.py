@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.functions import decode
@@ -10,20 +10,23 @@ from logsluice.functions.headers import normalise_headers
 from logsluice.schema import BLANK, IO_ERROR, JSON_ERROR, RECORD, RECORD_LINE
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
+def classify_lines(lines: DataFrame, where: Column | None = None) -> DataFrame:
     """Add ``line_class`` and the record columns, which are null unless it is ``record``.
 
-    Classes are ``io_error`` (not UTF-8), ``blank``, ``json_error`` and ``record``.
+    ``where`` selects lines by columns that ``lines`` has. Give it here rather than to
+    the result: filters on the result stay above the decoding, so a scan sees none of
+    them. Classes are ``io_error`` (not UTF-8), ``blank``, ``json_error`` and ``record``.
     ``value`` is kept, so that rejects can be stored.
     """
-    keys = [c for c in lines.columns if c != "value"]
+    if where is not None:
+        lines = lines.where(where)
     readable = F.when(F.is_valid_utf8("value"), decode.trim_white_space(F.col("value")))
     text, raw = F.col("_text"), F.get("_items", F.lit(0))
     valid = decode.is_whole(F.col("_items"), text)
     for name in decode.TEXT_FIELDS:
         required = name in ("method", "path")
         valid = valid & (decode.is_text if required else decode.is_text_or_null)(raw[name])
-    valid = valid & decode.is_status_or_null(raw["status"])
+    valid = valid & decode.is_status_or_null(raw["status"], text)
     valid = valid & decode.headers_well_formed(raw["headers"], text)
     line_class = (
         F.when(text.isNull(), F.lit(IO_ERROR))

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def status_mismatch(recorded: DataFrame, replayed: DataFrame) -> DataFrame:
     """Count of every (recorded, replayed) status pair, joined on ``line_no``.
 
-    ``line_no`` is unique on both sides, so the join cannot be skewed.
+    ``found_in`` is ``both``, ``recorded`` (never replayed) or ``replayed`` (an outcome
+    without a record); rows without ``line_no`` are of the latter two. ``matched`` is null
+    unless both sides are there. ``line_no`` must be unique on each side.
     """
-    left = recorded.select("line_no", F.col("status").alias("recorded_status"))
-    right = replayed.select("line_no", F.col("status").alias("replayed_status"))
-    pairs = left.join(right, "line_no").groupBy("recorded_status", "replayed_status")
-    return pairs.agg(F.count("*").alias("n")).withColumn(
-        "matched", F.col("recorded_status").eqNullSafe(F.col("replayed_status"))
+    left = recorded.select("line_no", F.col("status").alias("recorded_status"), F.lit(True).alias("was_recorded"))
+    right = replayed.select("line_no", F.col("status").alias("replayed_status"), F.lit(True).alias("was_replayed"))
+    found_in = (
+        F.when(F.col("was_replayed").isNull(), "recorded").when(F.col("was_recorded").isNull(), "replayed").otherwise("both")
     )
+    pairs = left.join(right, "line_no", "full").groupBy("recorded_status", "replayed_status", found_in.alias("found_in"))
+    alike = F.col("recorded_status").eqNullSafe(F.col("replayed_status"))
+    return pairs.agg(F.count("*").alias("n")).withColumn("matched", F.when(F.col("found_in") == "both", alike))

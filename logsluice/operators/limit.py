@@ -4,7 +4,7 @@ The limit changes every counter: lines after the one with the last wanted record
 count nowhere. Sorting all passing lines to find that one would send up to N rows
 through a single task, so its position is found from counts instead: one row per
 file or range of positions, refined until one position is left. Only those few
-numbers reach the driver.
+numbers reach the driver. Positions are selected before lines are decoded.
 """
 
 from __future__ import annotations
@@ -16,15 +16,21 @@ from logsluice.operators.classify import classify_lines
 from logsluice.operators.filters import with_passes
 from logsluice.options import JobOptions
 from logsluice.sources.lines import list_files, read_lines, read_source
+from logsluice.sources.scratch import stored
 
 # Ranges counted per round; bounds the rows of the running total.
 RANGES = 1 << 16
+# How much wider each range is than the one before it.
+GROWTH = 8
+# Lines and files looked at one after the other before any file is counted as a whole.
+HEAD_LINES, HEAD_FILES = 4096, 16
 
 
 def limit_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
     """Lines up to the one holding the last wanted record, by a unique integer ``line_no``.
 
-    Runs one to four counting jobs when ``options`` sets ``max_records``.
+    With ``max_records`` set, ranges of positions are decoded from the low end on, each wider
+    than the one before, until enough records have passed; then the last one is refined.
     """
     wanted = options.max_records
     if wanted is None:
@@ -32,28 +38,34 @@ def limit_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
     if wanted == 0:
         return lines.where(F.lit(False))
     position = F.col("line_no")
-    low, high = lines.agg(F.min(position), F.max(position)).first()
-    while low is not None:
+    low, last = lines.agg(F.min(position), F.max(position)).first()
+    if low is None:
+        return lines
+    size = max(RANGES, GROWTH * wanted)
+    while True:
+        high = min(low + size - 1, last)
         width = -(-(high - low + 1) // RANGES)
         inside = lines.where(position.between(low, high))
         ranges = F.expr(f"(line_no - {low}) div {width}")
-        hit, _ = _range_of_nth(_passing(inside, options), [ranges.alias("range")], wanted)
+        hit, total = _range_of_nth(_passing(inside, options), [ranges.alias("range")], wanted)
         if hit is None:
-            break
-        wanted -= hit["before"]
+            if high == last:
+                return lines
+            wanted, low, size = wanted - total, high + 1, size * GROWTH
+            continue
         low += hit["range"] * width
-        high = min(high, low + width - 1)
         if width == 1:
             return lines.where(position <= low)
-    return lines
+        wanted, last, size = wanted - hit["before"], min(low + width - 1, high), width
 
 
 def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
     """Lines of the source in file order, up to the one holding the last wanted record.
 
-    Files are counted in batches that double in size, so a small limit reads the
-    first files only. Positions inside a file are compared only between reads of
-    that same file, since Spark cuts splits differently for other sets of files.
+    A small limit is met from the first lines, which are read a few splits at a time and
+    become part of the plan. Else files are counted in batches that grow; the file in which
+    the limit falls is stored once, and cut there. The result is the same however Spark cuts
+    splits when it is read, as only whole files are read from the source again.
     """
     wanted = options.max_records
     if wanted is None:
@@ -62,6 +74,10 @@ def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
     if wanted == 0:
         return read_source(spark, options).where(F.lit(False))
     files = list_files(spark, uri, region)
+    if wanted <= HEAD_LINES:
+        head = _head(spark, options, files)
+        if head is not None:
+            return head
     start, step, previous = 0, 1, None
     while start < len(files):
         last = files[min(start + step, len(files)) - 1]
@@ -70,7 +86,7 @@ def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
         if hit is not None:
             earlier = [f for f in files if f < hit["file"]]
             before = earlier[-1] if earlier else None
-            one_file = read_lines(spark, uri, region, after=before, upto=hit["file"])
+            one_file = _as_bytes(stored(_as_bytes(read_lines(spark, uri, region, after=before, upto=hit["file"]))))
             cut = _cut_in_file(one_file, options, wanted - hit["before"])
             if before is None:
                 return cut
@@ -80,6 +96,50 @@ def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
     return read_source(spark, options)
 
 
+def _as_bytes(lines: DataFrame) -> DataFrame:
+    """``value`` as binary, or back as text: bytes that are no UTF-8 stay what they are."""
+    other = "string" if dict(lines.dtypes)["value"] == "binary" else "binary"
+    return lines.withColumn("value", F.col("value").cast(other))
+
+
+def _head(spark: SparkSession, options: JobOptions, files: list[str]) -> DataFrame | None:
+    """The cut lines if the limit, or the end of the source, is among the first lines; else None.
+
+    At most HEAD_LINES lines come to the driver. Of a file, Spark runs one split, then some
+    more, until it has them.
+    """
+    uri, region = options.require_source(), options.region
+    found, previous = [], None
+    for file in files[:HEAD_FILES]:
+        one_file = _as_bytes(read_lines(spark, uri, region, after=previous, upto=file))
+        room = HEAD_LINES - len(found)
+        rows = sorted(one_file.take(room), key=lambda r: (r.line_no.block, r.line_no.row))
+        found += [(*r.line_no, r.value) for r in rows]
+        previous = file
+        if len(rows) == room:
+            break
+        head = _local(spark, found)
+        if file == files[-1] or _passing(head, options).count() >= options.max_records:
+            return _cut_rows(head, found, options)
+    if not found:
+        return None
+    head = _local(spark, found)
+    return _cut_rows(head, found, options) if _passing(head, options).count() >= options.max_records else None
+
+
+def _local(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    lines = spark.createDataFrame(rows, "file string, block long, row long, value binary")
+    return lines.select(F.struct("file", "block", "row").alias("line_no"), F.col("value").cast("string").alias("value"))
+
+
+def _cut_rows(head: DataFrame, rows: list[tuple], options: JobOptions) -> DataFrame:
+    passing = sorted(tuple(r.line_no) for r in _passing(head, options).collect())
+    if len(passing) < options.max_records:
+        return head
+    last = passing[options.max_records - 1]
+    return _local(head.sparkSession, [r for r in rows if r[:3] <= last])
+
+
 def _passing(lines: DataFrame, options: JobOptions) -> DataFrame:
     return with_passes(classify_lines(lines), options).where("passes").select("line_no")
 

@@ -55,10 +55,11 @@ def outcome_cells(outcomes: DataFrame, *group: str | Column) -> DataFrame:
 
     Works on batch and, with a window among ``group``, on streaming outcomes.
     """
-    live = ~F.col("was_dry_run")
+    dry = F.coalesce("was_dry_run", F.lit(False))
+    live = ~dry
     return outcomes.groupBy(
         *group,
-        "was_dry_run",
+        dry.alias("was_dry_run"),
         F.when(live, F.col("status")).alias("status"),
         F.when(live, error_category(F.col("error"))).alias("category"),
         F.when(live, latency_bucket(F.col("latency_us"))).alias("bucket"),
@@ -139,7 +140,7 @@ def full_report(funnel: DataFrame, report: DataFrame) -> DataFrame:
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Attempted, succeeded and failed."""
-    dry, success = F.col("was_dry_run"), is_success(F.col("status"))
+    dry, success = F.coalesce("was_dry_run", F.lit(False)), is_success(F.col("status"))
     return outcomes.agg(
         F.count("*").alias("attempted"),
         F.count_if(dry | success).alias("succeeded"),
@@ -148,12 +149,12 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def status_distribution(outcomes: DataFrame) -> DataFrame:
-    answered = outcomes.where(~F.col("was_dry_run") & F.col("status").isNotNull())
+    answered = outcomes.where(~F.coalesce("was_dry_run", F.lit(False)) & F.col("status").isNotNull())
     return answered.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def error_distribution(outcomes: DataFrame) -> DataFrame:
-    failed = outcomes.where(~F.col("was_dry_run") & F.col("error").isNotNull())
+    failed = outcomes.where(~F.coalesce("was_dry_run", F.lit(False)) & F.col("error").isNotNull())
     return failed.groupBy(error_category(F.col("error")).alias("category")).agg(
         F.count("*").alias("n")
     )
@@ -161,7 +162,7 @@ def error_distribution(outcomes: DataFrame) -> DataFrame:
 
 def latency_histogram(outcomes: DataFrame, *group: str) -> DataFrame:
     """Recorded latencies per bucket; dry runs and zero latencies are not recorded."""
-    recorded = outcomes.where(~F.col("was_dry_run") & (F.col("latency_us") > 0))
+    recorded = outcomes.where(~F.coalesce("was_dry_run", F.lit(False)) & (F.col("latency_us") > 0))
     return recorded.groupBy(*group, latency_bucket(F.col("latency_us")).alias("bucket_us")).agg(
         F.count("*").alias("n")
     )

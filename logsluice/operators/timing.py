@@ -67,35 +67,41 @@ def _sum_before(window) -> Column:
     return F.coalesce(F.sum("net").over(earlier), F.lit(0))
 
 
-def replay_schedule(requests: DataFrame, key: str, slice_secs: int = 60) -> DataFrame:
+def replay_schedule(requests: DataFrame, key: str) -> DataFrame:
     """Gap to the previous request of the same ``key`` and offset from its first, in microseconds.
 
-    Rows are ordered within ``slice_secs`` of one key. What a slice needs to know of
-    the earlier ones, the key's first and latest time, comes from one row per key
-    and slice. Requests without a time have neither gap nor offset; those without
-    a key are one group.
+    A key's requests are first counted per instant; gaps are found between instants, ordered
+    within one second of a key, with what earlier seconds hold carried over (one row per key
+    and second, ordered within one day, then one row per key and day). Requests get their gap
+    by an equi-join, whose large partitions Spark can split. Of the requests of one instant
+    the one with the smallest ``line_no`` has the gap to the instant before, the others 0.
+    Requests without a time have neither gap nor offset; those without a key are one group.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    # A struct is never null and equals another with a null inside, so one plain
-    # equi-join serves missing keys too and shares its partitioning with the window.
+    # A struct is never null and equals another with a null inside, so a plain
+    # equi-join serves missing keys too.
     rows = requests.select("line_no", F.struct(key).alias("of"), at.alias("at"))
-    timed = rows.where(F.col("at").isNotNull()).withColumn(
-        "slice", F.expr(f"at div {slice_secs * 1_000_000}")
+    timed = rows.where(F.col("at").isNotNull())
+    instants = timed.groupBy("of", "at").agg(F.min("line_no").alias("first_line"))
+    seconds = _spans(instants.withColumn("low", F.col("at")).withColumn("high", F.col("at")), "at div 1000000")
+    days = _spans(seconds, "span div 86400").withColumnRenamed("span", "day")
+    over_key = Window.partitionBy("of").orderBy("day")
+    days = days.select(
+        "of", "day", F.lag("high").over(over_key).alias("before_day"), F.min("low").over(over_key).alias("first_at")
     )
-    slices = timed.groupBy("of", "slice").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    over_key = Window.partitionBy("of").orderBy("slice")
-    carried = slices.select(
-        "of",
-        "slice",
-        F.lag("high").over(over_key).alias("previous_high"),
-        F.first("low").over(over_key).alias("first_at"),
+    in_day = Window.partitionBy("of", "day").orderBy("span")
+    seconds = seconds.withColumn("day", F.expr("span div 86400")).join(days, ["of", "day"])
+    seconds = seconds.select(
+        "of", "span", "first_at", F.coalesce(F.lag("high").over(in_day), "before_day").alias("before_span")
     )
-    in_slice = Window.partitionBy("of", "slice").orderBy("at", "line_no")
-    previous = F.coalesce(F.lag("at").over(in_slice), F.col("previous_high"))
-    scheduled = timed.join(carried, ["of", "slice"]).select(
+    in_second = Window.partitionBy("of", "span").orderBy("at")
+    placed = instants.withColumn("span", F.expr("at div 1000000")).join(seconds, ["of", "span"])
+    previous = F.coalesce(F.lag("at").over(in_second), "before_span")
+    placed = placed.select("of", "at", "first_line", "first_at", previous.alias("previous"))
+    scheduled = timed.join(placed, ["of", "at"]).select(
         "line_no",
         f"of.{key}",
-        (F.col("at") - previous).alias("gap_us"),
+        F.when(F.col("line_no") == F.col("first_line"), F.col("at") - F.col("previous")).otherwise(0).alias("gap_us"),
         (F.col("at") - F.col("first_at")).alias("offset_us"),
     )
     unknown = F.lit(None).cast("bigint")
@@ -103,3 +109,8 @@ def replay_schedule(requests: DataFrame, key: str, slice_secs: int = 60) -> Data
         "line_no", f"of.{key}", unknown.alias("gap_us"), unknown.alias("offset_us")
     )
     return scheduled.unionByName(untimed)
+
+
+def _spans(parts: DataFrame, span: str) -> DataFrame:
+    """Earliest and latest time per key and ``span``, an expression over ``parts``."""
+    return parts.groupBy("of", F.expr(span).alias("span")).agg(F.min("low").alias("low"), F.max("high").alias("high"))

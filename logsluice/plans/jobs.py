@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsluice.functions.decode import utc_timestamp
 from logsluice.operators.classify import classify_lines
 from logsluice.operators.dispatch import dry_run, has_valid_method, invalid_method_outcomes
 from logsluice.operators.filters import with_passes
@@ -14,11 +15,11 @@ from logsluice.operators.stats import full_report, ingest_funnel, stats_report
 from logsluice.options import JobOptions
 
 
-def judged_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
-    """Classified lines with ``ts``, ``passes`` and ``sanitize_error``."""
-    passed = with_passes(classify_lines(lines), options)
+def judged_lines(lines: DataFrame, options: JobOptions, where: Column | None = None) -> DataFrame:
+    """Classified lines with ``ts``, ``passes`` and ``sanitize_error``; ``where`` selects lines before decoding."""
+    passed = with_passes(classify_lines(lines, where), options)
     error = F.when(F.col("passes"), sanitize_error())
-    times = passed.withColumn("ts", F.try_to_timestamp("timestamp")) if "ts" not in lines.columns else passed
+    times = passed.withColumn("ts", utc_timestamp("timestamp")) if "ts" not in lines.columns else passed
     return times.withColumn("sanitize_error", error)
 
 
@@ -27,9 +28,9 @@ def source_lines(spark: SparkSession, options: JobOptions) -> DataFrame:
     return limit_source(spark, options)
 
 
-def funnel(lines: DataFrame, options: JobOptions) -> DataFrame:
+def funnel(lines: DataFrame, options: JobOptions, where: Column | None = None) -> DataFrame:
     """What became of every line, as one row of counters."""
-    return ingest_funnel(judged_lines(lines, options))
+    return ingest_funnel(judged_lines(lines, options, where))
 
 
 def limited_funnel(lines: DataFrame, options: JobOptions) -> DataFrame:
@@ -37,9 +38,9 @@ def limited_funnel(lines: DataFrame, options: JobOptions) -> DataFrame:
     return funnel(limit_lines(lines, options), options)
 
 
-def sanitized_requests(lines: DataFrame, options: JobOptions) -> DataFrame:
+def sanitized_requests(lines: DataFrame, options: JobOptions, where: Column | None = None) -> DataFrame:
     """Requests ready to send, from the lines that pass."""
-    passed = judged_lines(lines, options).where("passes and sanitize_error is null")
+    passed = judged_lines(lines, options, where).where("passes and sanitize_error is null")
     keys = ["value", "line_class", "passes", "sanitize_error"]
     return sendable(sanitize(passed.drop(*keys), options))
 

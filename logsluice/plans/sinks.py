@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsluice.operators.stats import REPORT_COLUMNS
+from logsluice.sources.outcomes import as_outcomes
 
 log = logging.getLogger(__name__)
 
@@ -60,12 +61,14 @@ def summary_lines(report: DataFrame, interrupted: bool = False) -> DataFrame:
 
 
 def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store requests by log date.
+    """Store requests by log date in UTC.
 
     Rows stay in the tasks that read them: logs are roughly in time order, so each
     task holds few dates and no date has to pass through one task.
     """
-    dated = requests.withColumn("date", F.to_date("ts"))
+    micros, day = F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000
+    days = (micros - F.pmod(micros, F.lit(day))) / F.lit(day)
+    dated = requests.withColumn("date", F.date_from_unix_date(days.cast("int")))
     dated.write.mode(mode).partitionBy("date").parquet(path)
 
 
@@ -84,3 +87,21 @@ def _distribution(section: str, counts: str) -> Column:
     return F.transform(
         entries, lambda e: _line(section, e["key"].cast("string"), e["value"].cast("string"))
     )
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Store lines with their ``line_no``.
+
+    Spark numbers lines of files anew whenever it cuts splits otherwise. Jobs over stored
+    lines all see the same ``line_no``, so what they write can be joined later.
+    """
+    lines.withColumn("value", F.col("value").cast("binary")).write.parquet(path)
+
+
+def read_stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("value", F.col("value").cast("string"))
+
+
+def write_outcomes(outcomes: DataFrame, path: str, *keys: str) -> None:
+    """Store outcomes with ``keys``, such as the ``line_no`` of their requests."""
+    as_outcomes(outcomes, *keys).write.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ def read_lines(
 ) -> DataFrame:
     """Lines as ``line_no struct<file, block, row>`` and ``value``.
 
+    ``path`` is taken as it is, not as a pattern; a file or folder that Spark would hide is refused.
+
     Sorting by ``line_no`` restores file order: Spark may hand out splits in any
     order, but a split's rows keep theirs. ``after`` (exclusive) and ``upto``
     (inclusive) select files by name; the others are not opened.
     """
-    text = _reader(spark, region).text(path)
+    text = _reader(spark, region).text(literal_path(path))
     file = F.col("_metadata.file_path")
     if after is not None:
         text = text.where(file > after)
@@ -32,11 +36,21 @@ def read_lines(
 
 def list_files(spark: SparkSession, path: str | list[str], region: str | None = None) -> list[str]:
     """Input files in the order their lines count; listing only, nothing is read."""
-    names = _reader(spark, region).text(path).inputFiles()
+    names = _reader(spark, region).text(literal_path(path)).inputFiles()
     # The listing writes an empty authority, file:///a, which line_no.file does not.
     return sorted(name.replace(":///", ":/", 1) for name in names)
 
 
+def literal_path(path: str | list[str]) -> str | list[str]:
+    """``path`` with the characters of patterns escaped; raises for names that Spark skips in silence."""
+    if not isinstance(path, str):
+        return [literal_path(p) for p in path]
+    name = path.rstrip("/").rpartition("/")[2]
+    if name.startswith((".", "_")) and name not in (".", ".."):
+        raise ValueError(f"Spark does not read files whose names start with . or _: {path}")
+    return re.sub(r"([\\\[\]{}*?^])", r"\\\1", path)
+
+
 def _reader(spark: SparkSession, region: str | None):
     reader = spark.read.option("lineSep", "\n")
     return reader.option("fs.s3a.endpoint.region", region) if region else reader
@@ -53,13 +67,17 @@ def stream_lines(
     region: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Lines of files as they arrive; a stream has no global row order, so ``row`` is null."""
+    """Lines of files as they arrive.
+
+    A stream has no order of rows: ``row`` is a random number, which tells lines apart once
+    they are stored, but is another one when the files are read again.
+    """
     reader = spark.readStream.option("lineSep", "\n")
     if region:
         reader = reader.option("fs.s3a.endpoint.region", region)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _numbered(reader.text(path), F.lit(None).cast("bigint"))
+    return _numbered(reader.text(literal_path(path)), F.xxhash64(F.uuid()))
 
 
 def _numbered(text: DataFrame, row: Column) -> DataFrame:

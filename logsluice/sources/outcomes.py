@@ -9,9 +9,13 @@ from logsluice.schema import OUTCOME
 
 
 def as_outcomes(df: DataFrame, *keys: str) -> DataFrame:
-    """Select the outcome columns of ``df`` with their declared types, plus ``keys``."""
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in OUTCOME.fields]
-    return df.select(*keys, *columns)
+    """Select the outcome columns of ``df`` with their declared types, plus ``keys``.
+
+    An outcome that does not say whether it was a dry run was none.
+    """
+    columns = {f.name: F.col(f.name).cast(f.dataType) for f in OUTCOME.fields}
+    columns["was_dry_run"] = F.coalesce(columns["was_dry_run"], F.lit(False))
+    return df.select(*keys, *(c.alias(name) for name, c in columns.items()))
 
 
 def read_outcomes(spark: SparkSession, path: str, *keys: str) -> DataFrame:

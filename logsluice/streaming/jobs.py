@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from logsluice.functions.decode import utc_timestamp
 from logsluice.operators.classify import classify_lines
 from logsluice.operators.filters import with_passes
 from logsluice.operators.sanitize import sanitize
@@ -26,7 +27,7 @@ def disposed_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
     if options.max_records is not None:
         raise ValueError("max_records needs a global order of lines, which a stream does not have")
     passed = with_passes(classify_lines(lines), options)
-    timed = passed.withColumn("ts", F.try_to_timestamp("timestamp"))
+    timed = passed.withColumn("ts", utc_timestamp("timestamp"))
     # Lines that are not sent need no rewriting.
     for name in ("query", "headers", "body"):
         timed = timed.withColumn(name, F.when(F.col("passes"), F.col(name)))
@@ -79,13 +80,33 @@ def window_report(cells: DataFrame) -> DataFrame:
     return outcome_report(tally(cells, *group), *group)
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark: a lower bound, since Spark counts after partial aggregation."""
-    return sum(
-        operator.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for operator in progress.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that queries drop behind their watermarks, over their whole life.
+
+    Register it with ``spark.streams.addListener`` before the queries start. A lower bound,
+    since Spark counts after partial aggregation.
+    """
+
+    def __init__(self):
+        self._dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        name = str(event.progress.id)
+        self._dropped[name] = self._dropped.get(name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def dropped(self, query: StreamingQuery) -> int:
+        """By this query and its earlier runs from the same checkpoint, since the listener was added."""
+        return self._dropped.get(str(query.id), 0)
 
 
 def _start(writer, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:

@@ -85,7 +85,7 @@ def test_field_types(numbered):
 def test_full_record(numbered):
     line = json.dumps(
         {
-            "timestamp": "2025-10-10T14:32:11Z",
+            "timestamp": "2024-02-29T06:07:08Z",
             "method": "get",
             "path": "/é",
             "query": "?a=\n",
@@ -99,7 +99,7 @@ def test_full_record(numbered):
     row = classify_lines(numbered([line])).first().asDict()
     assert row["method"] == "get" and row["path"] == "/é" and row["query"] == "?a=\n"
     assert row["headers"] == {"accept": ["x"]} and row["status"] == 201
-    assert row["body"] == '{"a":"\\u0000"}' and row["timestamp"] == "2025-10-10T14:32:11Z"
+    assert row["body"] == '{"a":"\\u0000"}' and row["timestamp"] == "2024-02-29T06:07:08Z"
 
 
 def test_header_shapes(numbered):

@@ -6,19 +6,21 @@ from pyspark.sql import functions as F
 from logsluice import JobOptions
 from logsluice.operators import limit
 from logsluice.operators.classify import classify_lines
+from logsluice.operators.compare import status_mismatch
 from logsluice.operators.filters import build_predicate, method_filter, path_prefix_filter, status_filter
-from logsluice.plans import jobs
+from logsluice.plans import jobs, sinks
 from logsluice.sources.lines import list_files, read_lines
+from logsluice.sources.outcomes import read_outcomes
 
-GET_USERS = '{"method":"GET","path":"/api/users","status":200}'
-POST_USERS = (
-    '{"method":"POST","path":"/api/users","body":"{\\"name\\":\\"alice\\"}","body_encoding":"utf8",'
-    '"content_type":"application/json","status":201}'
+LIST_CARTS = '{"method":"GET","path":"/api/carts?","status":200}'
+ADD_CART = (
+    '{"method":"POST","path":"/api/carts","status":201,"content_type":"application/json",'
+    '"body_encoding":"utf8","body":"{\\"size\\":3}"}'
 )
-GET_ADMIN = '{"method":"GET","path":"/admin/secret","status":200}'
-MISSING = '{"method":"GET","path":"/api/users","status":404}'
-BAD = "not-valid-json at all"
-BAD_BASE64 = '{"method":"GET","path":"/api","body":"aGVsbG8","body_encoding":"base64"}'
+OPEN_DOOR = '{"method":"GET","path":"/doors/7","status":200}'
+NO_CART = '{"method":"GET","path":"/api/carts/0","status":404}'
+BAD = "{method: GET}"
+BAD_BASE64 = '{"method":"GET","path":"/api","body":"QQ","body_encoding":"base64"}'
 
 
 def kept(spark, predicate, column, values, kind="string"):
@@ -55,24 +57,21 @@ def test_chain_is_a_conjunction_and_empty_passes(spark):
 
 
 FUNNEL_CASES = [
-    ([GET_USERS, POST_USERS], {}, dict(total_lines=2, parse_errors=0, filtered_count=0, attempted=2)),
-    ([BAD, GET_USERS, BAD], {}, dict(total_lines=3, parse_errors=2, attempted=1)),
-    ([GET_USERS, POST_USERS], dict(methods=["GET"]), dict(filtered_count=1, attempted=1)),
-    ([GET_USERS, GET_ADMIN], dict(path_prefixes=["/api"]), dict(filtered_count=1, attempted=1)),
-    ([GET_USERS, POST_USERS], {}, dict(attempted=2, succeeded=2, failed=0)),
-    ([GET_USERS] * 10, dict(max_records=3), dict(total_lines=3, attempted=3)),
     ([], {}, dict(total_lines=0, attempted=0)),
-    ([GET_USERS, MISSING], dict(statuses=[200]), dict(filtered_count=1, attempted=1)),
+    (["\t", LIST_CARTS, ""], {}, dict(total_lines=3, parse_errors=0, attempted=1)),
+    ([NO_CART, BAD, OPEN_DOOR, BAD, BAD], {}, dict(total_lines=5, parse_errors=3, filtered_count=0, attempted=2, succeeded=2)),
+    ([NO_CART, LIST_CARTS, NO_CART], dict(statuses=[404]), dict(filtered_count=1, attempted=2)),
+    ([ADD_CART, OPEN_DOOR, ADD_CART], dict(methods=["post"]), dict(filtered_count=1, attempted=2)),
+    ([OPEN_DOOR, LIST_CARTS], dict(path_prefixes=["/doors", "/x"]), dict(filtered_count=1, attempted=1)),
     (
-        [GET_USERS, POST_USERS, GET_ADMIN],
-        dict(methods=["GET"], path_prefixes=["/api"]),
-        dict(total_lines=3, filtered_count=2, attempted=1, succeeded=1),
+        [ADD_CART, LIST_CARTS, NO_CART, OPEN_DOOR],
+        dict(methods=["GET"], path_prefixes=["/api"], statuses=[200]),
+        dict(total_lines=4, filtered_count=3, attempted=1, succeeded=1),
     ),
-    ([GET_USERS, BAD, GET_USERS, BAD], dict(max_records=2), dict(total_lines=3, parse_errors=1, attempted=2)),
-    ([BAD_BASE64, GET_USERS], dict(max_records=1), dict(total_lines=1, parse_errors=1, attempted=0)),
-    ([GET_USERS, BAD, ""], dict(max_records=0), dict(total_lines=0, parse_errors=0, attempted=0)),
-    (["", "  ", GET_USERS], {}, dict(total_lines=3, parse_errors=0, attempted=1)),
-    ([GET_USERS, BAD], dict(max_records=5), dict(total_lines=2, parse_errors=1, attempted=1)),
+    ([OPEN_DOOR, BAD] * 4, dict(max_records=3), dict(total_lines=5, parse_errors=2, attempted=3)),
+    ([BAD_BASE64, LIST_CARTS], dict(max_records=1), dict(total_lines=1, parse_errors=1, attempted=0)),
+    ([BAD, "", LIST_CARTS], dict(max_records=0), dict(total_lines=0, parse_errors=0, attempted=0)),
+    ([LIST_CARTS, BAD], dict(max_records=9), dict(total_lines=2, parse_errors=1, attempted=1)),
 ]
 
 
@@ -86,7 +85,7 @@ def test_dry_run_counters(spark, numbered, lines, options, expected):
 
 
 def test_funnel_balances(spark, numbered):
-    lines = [GET_USERS, BAD, "", b"\xff", GET_ADMIN, BAD_BASE64]
+    lines = [LIST_CARTS, BAD, "", b"\xff", OPEN_DOOR, BAD_BASE64]
     settings = JobOptions.create("http://h", path_prefixes=["/api"])
     f = jobs.funnel(numbered(lines), settings).first()
     assert f.total_lines == f.io_errors + f.blank_lines + f.json_errors + f.filtered_count + f.dispatched
@@ -110,8 +109,9 @@ def plain_cut(lines, wanted, prefix="/api"):
 @pytest.mark.parametrize("ranges", [1 << 9, 1 << 16])
 def test_limit_matches_reading_in_order(spark, monkeypatch, ranges):
     monkeypatch.setattr(limit, "RANGES", ranges)
+    monkeypatch.setattr(limit, "GROWTH", 1 << 12)
     rng = random.Random(ranges)
-    lines = [rng.choice([GET_USERS, POST_USERS, GET_ADMIN, BAD, "", BAD_BASE64]) for _ in range(60)]
+    lines = [rng.choice([LIST_CARTS, ADD_CART, OPEN_DOOR, BAD, "", BAD_BASE64]) for _ in range(60)]
     numbers = sorted(rng.sample(range(-(10**12), 10**12), 57)) + [10**15, 10**15 + 1, 10**18]
     df = spark.createDataFrame(list(zip(numbers, lines)), "line_no bigint, value string").repartition(5)
     for wanted in (1, 17, 500):
@@ -119,13 +119,15 @@ def test_limit_matches_reading_in_order(spark, monkeypatch, ranges):
         assert limit.limit_lines(df, settings).count() == plain_cut(lines, wanted)
 
 
-def test_files_are_read_and_limited_in_order(spark, tmp_path):
+@pytest.mark.parametrize("head", [4096, 7, 0])
+def test_files_are_read_and_limited_in_order(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(limit, "HEAD_LINES", head)
     rng = random.Random(4)
     folder = tmp_path / "in put%20"
     folder.mkdir()
     lines = []
     for name in ("a.ndjson", "b.ndjson", "c.ndjson", "d.ndjson", "e.ndjson"):
-        chunk = [rng.choice([GET_USERS, GET_ADMIN, BAD, "", "\r"]) for _ in range(40)]
+        chunk = [rng.choice([LIST_CARTS, OPEN_DOOR, BAD, "", "\r"]) for _ in range(40)]
         (folder / name).write_bytes("".join(f"{c}\r\n" for c in chunk).encode())
         lines += chunk
     stored = read_lines(spark, str(folder))
@@ -142,26 +144,79 @@ def test_files_are_read_and_limited_in_order(spark, tmp_path):
     assert limit.limit_source(spark, nothing).count() == 0
 
 
-def test_limit_inside_a_file_of_many_splits(spark, tmp_path):
+@pytest.fixture
+def many_splits(spark, tmp_path):
+    """One file of about 20 splits, and its lines."""
     rng = random.Random(5)
-    lines = [rng.choice([GET_USERS, GET_ADMIN, BAD]) + " " * rng.randrange(40) for _ in range(20_000)]
+    lines = [rng.choice([LIST_CARTS, OPEN_DOOR, BAD]) + " " * rng.randrange(40) for _ in range(20_000)]
     (tmp_path / "one.ndjson").write_text("\n".join(lines))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
-    try:
-        stored = read_lines(spark, str(tmp_path))
-        assert stored.select("line_no.block").distinct().count() > 5
-        for wanted in (1, 3_456):
-            settings = JobOptions.create(
-                "http://h", input_path=str(tmp_path), path_prefixes=["/api"], max_records=wanted
-            )
-            cut = limit.limit_source(spark, settings)
-            assert cut.count() == plain_cut(lines, wanted)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    yield str(tmp_path / "one.ndjson"), lines
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_limit_inside_a_file_of_many_splits(spark, many_splits):
+    path, lines = many_splits
+    assert read_lines(spark, path).select("line_no.block").distinct().count() > 15
+    for wanted in (1, 3_456, 6_000):
+        settings = JobOptions.create("http://h", input_path=path, path_prefixes=["/api"], max_records=wanted)
+        cut = limit.limit_source(spark, settings)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "130000")
+        assert cut.count() == plain_cut(lines, wanted)
+        assert [r.value for r in cut.orderBy("line_no").collect()] == lines[: plain_cut(lines, wanted)]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+
+
+def test_a_small_limit_reads_a_few_splits(spark, many_splits):
+    path, lines = many_splits
+    settings = JobOptions.create("http://h", input_path=path, path_prefixes=["/api"], max_records=10)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small limit", "")
+    cut = jobs.funnel(jobs.source_lines(spark, settings), settings)
+    assert cut.first().total_lines == plain_cut(lines, 10)
+    stages = [s for j in tracker.getJobIdsForGroup("small limit") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [info.numTasks for s in stages if (info := tracker.getStageInfo(s))]
+    assert max(tasks) <= spark.sparkContext.defaultParallelism
+
+
+def test_names_are_no_patterns_and_hidden_files_are_refused(spark, tmp_path):
+    for name in ("a[1].ndjson", "{b}.ndjson", "c*d?.ndjson", "plain.ndjson"):
+        (tmp_path / name).write_text(f"{LIST_CARTS}\n{name}")
+        assert sorted(r.value for r in read_lines(spark, str(tmp_path / name)).collect()) == sorted([LIST_CARTS, name])
+        assert len(list_files(spark, str(tmp_path / name))) == 1
+    for name in ("_x.ndjson", ".x"):
+        (tmp_path / name).write_text(LIST_CARTS)
+        with pytest.raises(ValueError):
+            read_lines(spark, str(tmp_path / name))
+
+
+def test_line_columns_are_filtered_before_decoding(spark, tmp_path, capsys):
+    rows = [(i, LIST_CARTS, f"2025-01-0{i % 3 + 1}") for i in range(9)]
+    spark.createDataFrame(rows, "line_no long, value string, day string").write.partitionBy("day").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    settings = JobOptions.create("http://h", methods=["get"])
+    requests = jobs.sanitized_requests(table, settings, where=F.col("day") == "2025-01-02")
+    requests.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(day" in plan and plan.count("from_json(") == 1
+    assert requests.count() == 3
+
+
+def test_stored_lines_keep_their_numbers(spark, many_splits, tmp_path):
+    path, lines = many_splits
+    sinks.write_lines(read_lines(spark, path), str(tmp_path / "stored"))
+    stored = sinks.read_stored_lines(spark, str(tmp_path / "stored"))
+    outcomes = jobs.dry_run_outcomes(stored, JobOptions.create("http://h"))
+    sinks.write_outcomes(outcomes, str(tmp_path / "outcomes"), "line_no")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "130000")
+    recorded = classify_lines(stored).where("line_class = 'record'")
+    pairs = status_mismatch(recorded, read_outcomes(spark, str(tmp_path / "outcomes"), "line_no")).collect()
+    assert {r.found_in for r in pairs} == {"both"} and sum(r.n for r in pairs) == sum(x[0:1] == '{' and "method:" not in x for x in lines)
 
 
 def test_invalid_utf8_is_an_io_error(spark, tmp_path):
-    (tmp_path / "x.ndjson").write_bytes(f"{GET_USERS}\n".encode() + b"\xff\xfe\n" + GET_USERS.encode())
+    (tmp_path / "x.ndjson").write_bytes(f"{LIST_CARTS}\n".encode() + b"\xff\xfe\n" + LIST_CARTS.encode())
     classes = classify_lines(read_lines(spark, str(tmp_path))).orderBy("line_no").select("line_class")
     assert [r[0] for r in classes.collect()] == ["record", "io_error", "record"]
 
@@ -174,5 +229,5 @@ def test_missing_source_fails(spark, tmp_path):
 
 def test_a_filter_does_not_repeat_the_parse(spark, numbered, capsys):
     settings = JobOptions.create("http://h", methods=["get"], path_prefixes=["/a"], statuses=[200])
-    jobs.sanitized_requests(numbered([GET_USERS]), settings).explain()
+    jobs.sanitized_requests(numbered([LIST_CARTS]), settings).explain()
     assert capsys.readouterr().out.count("from_json(") == 1

@@ -1,22 +1,25 @@
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from logsluice import JobOptions
+from logsluice.operators.compare import status_mismatch
 from logsluice.operators.stats import stats_report
 from logsluice.plans import jobs
 from logsluice.sources.lines import read_lines, stream_lines
 from logsluice.sources.outcomes import stream_outcomes
 from logsluice.streaming.jobs import (
+    LateRows,
     disposed_lines,
-    late_rows_dropped,
     start_request_stream,
     start_window_stats,
     window_report,
 )
 
 LINES = [
-    '{"method":"GET","path":"/api/a","query":"?token=1","timestamp":"2025-10-10T14:32:11Z"}',
+    '{"method":"GET","path":"/api/a","query":"?token=1","timestamp":"2024-02-29T06:07:08Z"}',
     '{"method":"POST","path":"/api/b","body":"{\\"ssn\\":1}","content_type":"application/json"}',
     '{"method":"POST","path":"/api/c","body":"x","body_encoding":"base64"}',
     '{"method":"GET","path":"/other","body":"{\\"ssn\\":1}"}',
@@ -57,6 +60,28 @@ def test_streams_refuse_a_limit(spark, tmp_path):
         disposed_lines(stream_lines(spark, str(tmp_path)), limited)
 
 
+def test_late_rows_add_up_over_more_batches_than_spark_remembers():
+    listener, query = LateRows(), SimpleNamespace(id="q")
+    assert listener.dropped(query) == 0
+    listener.onQueryStarted(SimpleNamespace(id="q"))
+    for late in range(150):
+        operators = [SimpleNamespace(numRowsDroppedByWatermark=late), SimpleNamespace(numRowsDroppedByWatermark=1)]
+        listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(id="q", stateOperators=operators)))
+    listener.onQueryStarted(SimpleNamespace(id="q"))
+    assert listener.dropped(query) == sum(range(150)) + 150
+
+
+def test_lines_of_a_stream_pair_off_one_by_one(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ndjson").write_text("\n".join(LINES[:2] * 25))
+    query = start_request_stream(
+        stream_lines(spark, str(tmp_path / "in")), OPTIONS, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True
+    )
+    query.awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "out")).where("disposition = 'request'").withColumn("status", F.lit(200))
+    assert [tuple(r) for r in status_mismatch(sent, sent).collect()] == [(200, 200, "both", 50, True)]
+
+
 def write_outcomes(spark, path, rows):
     df = spark.createDataFrame(rows, "s bigint, status int, latency_us bigint, error string, was_dry_run boolean")
     df.select(F.timestamp_seconds("s").alias("ts"), *df.columns[1:]).coalesce(1).write.mode("append").parquet(path)
@@ -77,10 +102,13 @@ def test_windows_match_batch_and_late_rows_are_dropped(spark, tmp_path):
         query.awaitTermination()
         return query
 
-    run(first)
-    dropped = late_rows_dropped(run(late))
-    assert 1 <= dropped <= len(late)
-    run(closing)
+    # Events as the listener would get them; registering one needs a callback port.
+    listener = LateRows()
+    for batch in (first, late, late, closing):
+        query = run(batch)
+        for progress in query.recentProgress:
+            listener.onQueryProgress(SimpleNamespace(progress=progress))
+    assert 2 <= listener.dropped(query) <= 2 * len(late)
     got = {r.window_start: r for r in window_report(spark.read.parquet(out)).collect()}
     rows = spark.createDataFrame(first, "s bigint, status int, latency_us bigint, error string, was_dry_run boolean")
     windowed = rows.withColumn("ts", F.timestamp_seconds("s")).withColumn("w", F.window("ts", "2 minutes")["start"])
