@@ -31,13 +31,19 @@ classed AS (SELECT line_no, value, line_class,
 
 
 def funnel(passes: str, relation: str = "classed") -> str:
-    return f"""SELECT count(*) AS total_lines, CAST(0 AS BIGINT) AS io_errors,
+    return f"""SELECT count(*) AS total_lines, 
+  count(*) FILTER (line_class = 'io_error') AS io_errors,
   count(*) FILTER (line_class = 'blank') AS blank_lines,
   count(*) FILTER (line_class = 'json_error') AS json_errors,
   count(*) FILTER (line_class = 'record' AND NOT ({passes})) AS filtered_count,
   count(*) FILTER (line_class = 'record' AND ({passes})) AS dispatched,
   CAST(0 AS BIGINT) AS sanitize_errors,
-  count(*) FILTER (line_class = 'json_error') AS parse_errors FROM {relation}"""
+  count(*) FILTER (line_class IN ('io_error', 'json_error')) AS parse_errors FROM {relation}"""
+
+
+# Every fiftieth line of the files is not UTF-8.
+WITH_IO_ERRORS = """(SELECT * REPLACE (CASE WHEN line_no % 50 = 7 THEN 'io_error' ELSE line_class END AS line_class)
+  FROM classed) f"""
 
 
 def limited_funnel(passes: str, wanted: int) -> str:
@@ -114,6 +120,8 @@ def bodies(values: str) -> str:
 REQUEST_COLUMNS = f"""line_no, method, {URL} AS url,
   CASE line_no % 6 WHEN 1 THEN 'accept' WHEN 2 THEN 'x-id,x-flag,x-none' WHEN 3 THEN 'accept,x-a'
     WHEN 4 THEN 'x-list,x-bad,x-obj' ELSE '' END AS header_names,
+  replace(CASE line_no % 6 WHEN 1 THEN 'text/html' WHEN 2 THEN '@;true;null' WHEN 3 THEN 'b;@'
+    WHEN 4 THEN 'p|@;ok|t' || chr(9) || 't;{{"k":[@]}}' ELSE '' END, '@', CAST(user_id AS VARCHAR)) AS header_values,
   CASE WHEN line_no % 10 = 9 THEN 'hello' ELSE replace(b, '@', CAST(user_id AS VARCHAR)) END AS body,
   CASE line_no % 10 WHEN 0 THEN NULL WHEN 2 THEN 'application/x-www-form-urlencoded'
     WHEN 3 THEN 'application/json; charset=utf-8' WHEN 8 THEN 'Application/JSON' ELSE 'application/json' END AS content_type"""
@@ -246,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_path_prefix": filtered("starts_with(path, '/api') OR starts_with(path, '/health')"),
         "filter_status": filtered("coalesce(status, 0) IN (200, 404, 0)"),
         "filter_chain": filtered(READS),
+        "filter_custom": filtered("length(path) > 8"),
         "line_classes": f"{CLASSED} SELECT line_class, count(*) AS n FROM classed GROUP BY line_class",
         "decoded_records": f"{CLASSED} SELECT line_no, method, path, query, status FROM classed "
         "WHERE line_class = 'record'",
@@ -253,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
         "WHERE line_class IN ('io_error', 'json_error')",
         "ingest_funnel": f"{CLASSED} {funnel(READS)}",
         "ingest_funnel_max_records": limited_funnel(GET_API, 500),
-        "file_funnel": f"{CLASSED} {funnel(GET_API)}",
+        "file_funnel": f"{CLASSED} {funnel(GET_API, WITH_IO_ERRORS)}",
         "file_funnel_max_records": limited_funnel(GET_API, 500),
         "query_redacted": f"SELECT line_no, {QUERY} AS query, {redacted('query', KEPT_NAMES)} AS query_token_kept "
         f"FROM {traffic}",
@@ -270,7 +279,8 @@ def oracle_sql() -> dict[str, str]:
         "body_decoded": "SELECT event_id AS line_no, CASE WHEN event_id % 40 = 9 THEN NULL ELSE 'hello' END AS body, "
         "event_id % 40 = 9 AS rejected FROM events WHERE event_id % 10 = 9",
         "sanitized_requests": f"SELECT {REQUEST_COLUMNS} {REQUESTS}",
-        "stored_requests": f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n {REQUESTS} GROUP BY 1",
+        "extra_sanitizer": f"SELECT line_no, lower({URL}) AS url {REQUESTS}",
+        "stored_requests": f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, {REQUEST_COLUMNS} {REQUESTS}",
         "dry_run_stats": f"""WITH j AS (SELECT *, {READS} AS passes, line_no % 40 = 9 AS bad FROM {traffic}),
             s AS (SELECT count(*) AS total_lines, count(*) FILTER (passes AND bad) AS parse_errors,
               count(*) FILTER (NOT passes) AS filtered_count, count(*) FILTER (passes AND NOT bad) AS attempted,
@@ -297,12 +307,17 @@ def oracle_sql() -> dict[str, str]:
         "stats_report": report(),
         "stats_report_by_method": report("method"),
         "full_report": f"SELECT * FROM {FUNNEL_AND_REPORT}",
+        "stats_json": f"SELECT * FROM {FUNNEL_AND_REPORT}",
         "summary": SUMMARY,
-        "rate_over_cap": f"""SELECT epoch_us(date_trunc('hour', ts)) AS second_us, count(*) AS requests,
-            count(*) - 10 AS excess FROM {traffic} GROUP BY 1 HAVING count(*) > 10""",
+        "rate_over_cap": f"""SELECT CAST(epoch_us(ts) // 3600 // 1000000 AS BIGINT) * 1000000 AS second_us,
+            count(*) AS requests, count(*) - 10 AS excess FROM {traffic} GROUP BY 1 HAVING count(*) > 10""",
         "peak_requests_in_flight": IN_FLIGHT,
-        "status_pairs": f"""SELECT status AS recorded_status, replayed_status, count(*) AS n,
-            status IS NOT DISTINCT FROM replayed_status AS matched FROM {traffic} GROUP BY 1, 2""",
+        "status_pairs": f"""SELECT recorded_status, replayed_status, found_in, count(*) AS n,
+            CASE WHEN found_in = 'both' THEN recorded_status IS NOT DISTINCT FROM replayed_status END AS matched
+            FROM (SELECT CASE WHEN line_no % 23 <> 0 THEN status END AS recorded_status,
+                CASE WHEN line_no % 29 <> 0 THEN replayed_status END AS replayed_status,
+                CASE WHEN line_no % 23 = 0 THEN 'replayed' WHEN line_no % 29 = 0 THEN 'recorded' ELSE 'both' END AS found_in
+              FROM {traffic} WHERE line_no % 23 <> 0 OR line_no % 29 <> 0) p GROUP BY 1, 2, 3""",
         "replay_gaps": f"""SELECT line_no, user_id,
             epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, line_no)) AS gap_us,
             epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) AS offset_us FROM {traffic}""",

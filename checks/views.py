@@ -22,7 +22,7 @@ SELECT
                   WHEN 'signup' THEN 'Put' ELSE 'DELETE' END AS method,
   CASE event_id % 5 WHEN 0 THEN concat('/api/v1/', event_type, '/', CAST(user_id AS STRING))
                     WHEN 1 THEN '/api' WHEN 2 THEN concat('/apix/', CAST(user_id AS STRING))
-                    WHEN 3 THEN '/health' ELSE '/admin/secret' END AS path,
+                    WHEN 3 THEN '/health' ELSE '/staff/keys' END AS path,
   CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '?'
                     WHEN 3 THEN concat('?lang=en&Token=t', CAST(user_id AS STRING))
                     WHEN 4 THEN concat('email=u', CAST(user_id AS STRING), '@example.com&&q=a=b')
@@ -31,9 +31,9 @@ SELECT
                     ELSE NULL END AS status,
   CASE WHEN event_id % 11 = 0 THEN CAST(0 AS BIGINT)
        ELSE CAST(round(value * 100) AS BIGINT) * 2000 END AS latency_us,
-  CASE event_id % 30 WHEN 5 THEN 'operation timed out' WHEN 11 THEN 'tcp connect error: Connection refused'
-                     WHEN 17 THEN 'TLS handshake failed: invalid certificate'
-                     WHEN 23 THEN 'some unexpected I/O error' ELSE NULL END AS error,
+  CASE event_id % 30 WHEN 5 THEN 'no answer: read timed out' WHEN 11 THEN 'peer: Connection Refused (111)'
+                     WHEN 17 THEN 'no TLS version in common'
+                     WHEN 23 THEN 'broken pipe' ELSE NULL END AS error,
   event_id % 13 = 0 AS was_dry_run,
   CASE WHEN event_id % 17 = 0 THEN 503 WHEN event_id % 19 = 0 THEN NULL
        ELSE CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 299 WHEN 3 THEN 300
@@ -44,7 +44,7 @@ FROM events
 LINES = f"""
 SELECT line_no,
   CASE line_no % 19
-    WHEN 1 THEN 'not-valid-json at all'
+    WHEN 1 THEN 'no json here'
     WHEN 2 THEN ''
     WHEN 3 THEN '   '
     WHEN 4 THEN concat(ok, ' junk')
