@@ -103,7 +103,10 @@ def headers_well_formed(raw_headers: Column, text: Column) -> Column:
 
 
 def utc_timestamp(name: str) -> Column:
-    """The time of a text, in UTC where it names no zone, whatever the session's zone; else null."""
-    text = F.col(name)
+    """The time of a text, in UTC where it names no zone, whatever the session's zone; else null.
+
+    A time without a date is none: Spark would take it for one of today.
+    """
+    text = F.when(F.col(name).rlike(r"^\s*[+-]?\d{4}"), F.col(name))
     forms = (F.concat(text, F.lit("Z")), F.concat(text, F.lit("T00:00:00Z")), text)
     return F.coalesce(*(F.try_to_timestamp(form) for form in forms))

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logsluice.functions.decode import utc_timestamp
 from logsluice.operators.classify import classify_lines, rejected_lines
 
 GET = '{"method":"GET","path":"/a"}'
@@ -62,6 +63,9 @@ def test_field_types(numbered):
         '{"method":"GET","path":"/a","status":70000}',
         '{"method":"GET","path":"/a","status":65536}',
         '{"method":"GET","path":"/a","status":-1}',
+        '{"method":"GET","path":"/a","status":-0}',
+        '{"status" : -0 , "method":"GET","path":"/a"}',
+        '{"method":"GET","path":"/a","h\\u0065aders":5}',
         '{"method":"GET","path":"/a","status":99999999999999999999}',
         '{"method":"GET","path":"/a","headers":[]}',
         '{"method":"GET","path":"/a","headers":5}',
@@ -70,6 +74,8 @@ def test_field_types(numbered):
     accepted = [
         '{"method":"GET","path":"/a","status":null,"query":null,"headers":null,"body":null}',
         '{"method":"GET","path":"/a","status":0}',
+        '{"method":"GET","path":"/a","status":0,"body":"{\\"status\\":-0}"}',
+        '{"method":"GET","path":"/a","h\\u0065aders":{"a":"b"}}',
         '{"method":"GET","path":"/a","status":65535}',
         '{"method":"","path":""}',
         '{"method":"GET","path":"/a","other":{"x":[1,2.5,null]}}',
@@ -195,3 +201,18 @@ _lines = st.one_of(
 @given(st.lists(_lines, min_size=150, max_size=200))
 def test_classes_agree_with_a_plain_parser(numbered, lines):
     assert classes(numbered, lines) == [_plain_class(line) for line in lines]
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    texts = {
+        "2024-02-29T06:07:08": 1709186828, "2024-02-29 06:07:08.5": 1709186828.5, "2024-02-29": 1709164800,
+        "2024-02-29T06:07:08Z": 1709186828, "2024-02-29T06:07:08+02:00": 1709179628, "2024-02-29T06:07:08 UTC": 1709186828,
+        "no time": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "timestamp string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.select(F.unix_micros(utc_timestamp("timestamp")) / 1e6).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == list(texts.values())
