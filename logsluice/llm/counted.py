@@ -65,7 +65,6 @@ def counting(keys_of: Callable, shard_of: Callable) -> Callable:
                         held, size = [], 0
         if held:
             yield from passed_on(held)
-        pa.default_memory_pool().release_unused()
 
     return count
 

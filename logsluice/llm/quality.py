@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
                 row, bucket, value = features(data, offsets[lo : hi + 1], settings)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i, a, b in zip(range(lo, hi), cuts, cuts[1:], strict=False):
-                    held.setdefault(learners[i], []).append((bucket[a:b], value[a:b], labels_of[i]))
+                    held.setdefault(learners[i], []).append((bucket[a:b].astype(np.int32), value[a:b].copy(), labels_of[i]))
         for own in held.values():
             weights, bias = _ftrl(own, settings)
             at = np.flatnonzero(weights)

@@ -9,7 +9,7 @@ import numpy as np
 from logsluice.llm.words import Words, byte_set, split_words
 
 #: Words a worker remembers; beyond that it forgets all of them and goes on.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 19
 _SEPARATORS = byte_set((0x20, 0x20), (0x0A, 0x0A))
 _LETTER = byte_set((ord("a"), ord("z")))
 _POINT = byte_set((ord("."), ord(".")), (ord(","), ord(",")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,6 +72,7 @@ class Powers:
 
 
 POWERS = Powers()
+_C_LIBRARY = ctypes.CDLL(None)
 _VALUES = byte_values(1)
 
 
@@ -106,6 +108,14 @@ def row_groups(offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, in
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back after a batch: workers live on between tasks, and it would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_C_LIBRARY, "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def split_words(
