@@ -19,9 +19,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("_score") >= queries.GOOD).select(*docs.columns)
 
 
+#: The general rule for near copies; the figures of ``op2_ngram_jaccard_join`` (3 and 90) hold for that query alone.
+NEAR_COPIES = shingle_join.Settings(words=5, percent=80)
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest ``doc_id``."""
-    return shingle_join.one_of_each(docs)
+    return shingle_join.one_of_each(docs, NEAR_COPIES)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

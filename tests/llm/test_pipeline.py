@@ -94,6 +94,23 @@ def test_stages(spark, corpus):
     assert max(total.values()) <= 4096
 
 
+def test_near_copies_between_the_thresholds_are_one_document(spark):
+    rng = random.Random(29)
+    base, other, third, fourth = (_prose(rng, n) for n in (200, 180, 240, 200))
+    texts = [base, base + " " + _prose(rng, 30), other + " " + _prose(rng, 40), other]
+    words = third.split()
+    texts += [third, " ".join(words[:100] + _prose(rng, 18).split() + words[118:])]
+    words = fourth.split()
+    texts += [fourth, " ".join("edited" if k in (40, 80, 120, 160) else w for k, w in enumerate(words))]
+    texts += [base + " " + _prose(rng, 60), _prose(rng, 150)]
+    texts = dict(enumerate(texts))
+    wanted = {min(g) for g in linked_groups(texts, words=5, percent=80)}
+    assert wanted == {0, 2, 4, 6, 8, 9} and {min(g) for g in linked_groups(texts, words=3, percent=90)} == set(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA).repartition(3)
+    one = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    assert {r["doc_id"]: r["text"] for r in one.collect()} == {i: texts[i] for i in wanted}
+
+
 def test_run_goes_through_all_stages(spark, corpus):
     folder, texts = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
