@@ -2,9 +2,10 @@
 
 One automaton holds all templates. A text's words are looked up in the templates' vocabulary as
 arrays; only stretches in which every pair of neighbours occurs in some template, which no match
-of two words can leave, are streamed through the automaton. Matches that cannot be made longer
-are chained where they go forward in both the text and one template; a chain covers a part of
-the template, from which labels and scores follow.
+of two words can leave, are streamed through the automaton. Matches that cannot be made longer at
+their place in a template, of which it may hold several, are chained where they go forward in
+both the text and the template; the chains that cover most of it, from which labels and scores
+follow, are found by dynamic programming.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ class State:
     link: int = -1
     next: dict[int, int] = field(default_factory=dict)
     ends: dict[int, int] = field(default_factory=dict)  # by template: where the words first end
+    places: set[tuple[int, int]] = field(default_factory=set)  # template, end: everywhere the words end
 
 
 class SuffixAutomaton:
-    """All runs of words of several sequences; each state knows one end in each of them."""
+    """All runs of words of several sequences; each state knows where it ends in each of them."""
 
     def __init__(self, sequences: list[list[int]]):
         self.states = [State(0)]
@@ -84,10 +86,12 @@ class SuffixAutomaton:
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
                 self.states[last].ends.setdefault(number, at + 1)
+                self.states[last].places.add((number, at + 1))
         for state in sorted(self.states[1:], key=lambda s: -s.length):
             above = self.states[state.link].ends
             for number, end in state.ends.items():
                 above[number] = min(end, above.get(number, end))
+            self.states[state.link].places |= state.places
 
     def _extend(self, last: int, word: int) -> int:
         states = self.states
@@ -151,7 +155,9 @@ class Scanner:
         self._phrases = [(s, label) for s, (_, label) in zip(sequences[n:], settings.phrases, strict=True)]
         self._sizes = [len(s) for s in sequences[:n]]
         self._labels = [label for label, _ in settings.templates]
-        self._automaton = SuffixAutomaton([s.tolist() for s in sequences[:n]])
+        self._sequences = [s.tolist() for s in sequences[:n]]
+        self._automaton = SuffixAutomaton(self._sequences)
+        self._held: dict[int, list[tuple[int, int, int, int]]] = {}
         self._pairs = np.zeros((len(self._vocabulary) + 1,) * 2, dtype=bool)
         for s in sequences[:n]:
             self._pairs[s[:-1], s[1:]] = True
@@ -190,34 +196,76 @@ class Scanner:
         long = ends - starts >= self._s.shortest
         return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
+    def _places(self, state: int) -> list[tuple[int, int, int, int]]:
+        """Where the words of a state, or a suffix of ``shortest`` words at least, end: template, end in
+        it, the template's next word (-2: none), and the length of the longest such suffix."""
+        if state not in self._held:
+            states, found, seen, at = self._automaton.states, [], set(), state
+            while at >= 0 and states[at].length >= self._s.shortest:
+                for t, end in sorted(states[at].places - seen):
+                    after = self._sequences[t][end] if end < self._sizes[t] else -2
+                    found.append((t, end, after, states[at].length))
+                seen, at = states[at].places, states[at].link
+            self._held[state] = found
+        return self._held[state]
+
     def matches(self, ids: np.ndarray, start: int, end: int) -> list[tuple[int, int, int, int]]:
-        """Matches that no further word extends, for each template that has them: template,
+        """Matches that no word before or after extends, at every place of a template: template,
         end in it, end in the text, words."""
-        found, states = [], self._automaton.states
-        seen = list(self._automaton.statistics(ids[start:end].tolist()))
-        for k, (length, state) in enumerate(seen):
-            if length >= self._s.shortest and (k + 1 == len(seen) or seen[k + 1][0] <= length):
-                found += [(t, e, start + k + 1, length) for t, e in states[state].ends.items()]
+        found, words = [], ids[start:end].tolist()
+        for k, (length, state) in enumerate(self._automaton.statistics(words)):
+            if length >= self._s.shortest:
+                after = words[k + 1] if k + 1 < len(words) else -1
+                found += [(t, e, start + k + 1, min(length, most)) for t, e, known, most in self._places(state) if known != after]
         return found
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Template, first and last word in the text (from, to), and template words covered.
 
-        A match joins the last chain of its template if it goes on behind that chain's end in
-        the template and starts within ``gap`` words of its end in the text; else it starts one.
+        A match may follow one of its template that ends before it in the template and in the text,
+        there at most ``gap`` words before it starts; it adds its words behind both ends. Of all
+        chains, those that cover most are taken first, each match in one; what lies within a chain
+        that covers as much is left out.
         """
-        open_chains: dict[int, list[int]] = {}
-        done = []
-        for template, end, at, length in sorted(matches, key=lambda m: (m[2], m[0], m[1])):
-            chain = open_chains.get(template)
-            if chain and end > chain[3] and at - length - chain[1] <= self._s.gap and at > chain[1]:
-                chain[2] += min(length, end - chain[3], at - chain[1])
-                chain[1], chain[3] = at, end
+        of_template: dict[int, list[tuple[int, int, int]]] = {}
+        for template, end, at, length in sorted(matches, key=lambda m: (m[2], m[1])):
+            of_template.setdefault(template, []).append((end, at, length))
+        return sorted((t, *chain) for t, found in of_template.items() for chain in self._chains(found))
+
+    def _chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Chains of one template's matches (end in it, end in the text, words), sorted by the end in the text."""
+        best, first, before = [], [], []
+        for k, (end, at, length) in enumerate(found):
+            most, back = (length, at - length), -1
+            for j in range(k - 1, -1, -1):
+                earlier, text_end, _ = found[j]
+                if at - length - text_end > self._s.gap:
+                    break
+                if earlier < end and text_end < at:
+                    joined = best[j] + min(length, end - earlier, at - text_end), first[j]
+                    if joined > most:
+                        most, back = joined, j
+            best.append(most[0])
+            first.append(most[1])
+            before.append(back)
+        used, taken = [False] * len(found), []
+        for last in sorted(range(len(found)), key=lambda k: (-best[k], k)):
+            if used[last]:
                 continue
-            if chain:
-                done.append((template, *chain[:3]))
-            open_chains[template] = [at - length, at, length, end]
-        return sorted(done + [(t, *c[:3]) for t, c in open_chains.items()])
+            head = last
+            used[head] = True
+            while before[head] >= 0 and not used[before[head]]:
+                head = before[head]
+                used[head] = True
+            _, at, length = found[head]
+            taken.append((at - length, found[last][1], best[last] - best[head] + length))
+        kept, near = [], []
+        for chain in sorted(taken, key=lambda c: (c[0], -c[1], -c[2])):
+            near = [c for c in near if c[1] > chain[0]]
+            if not any(c[1] >= chain[1] and c[2] >= chain[2] for c in near):
+                near.append(chain)
+                kept.append(chain)
+        return kept
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
         """Columns of the result, row by row."""

@@ -62,3 +62,49 @@ def test_a_changed_licence_is_covered_by_a_chain(spark):
     best = max(got[1]["spans"], key=lambda s: s["covered"])
     assert best["start"] == 2 and best["end"] == len(_words(" ".join(words))) + 2
     assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.5
+
+
+def test_a_run_that_a_template_holds_twice_stays_in_its_chain(spark):
+    words = _words(licences.TEMPLATES[6][1])
+    at = words.index("reproduce")
+    assert words[at + 1 : at + 13] == words[27:39] and words[at + 13] == "in"
+    words[at] = words[at + 13] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = licences.scan(docs).collect()[0]
+    assert got["labels"] == "bsd" and got["score"] == 66 / 68
+    assert [(s["start"], s["end"]) for s in got["spans"] if s["label"] == "bsd"] == [(0, 68)]
+
+
+def _most_covered(template, text, shortest, gap):
+    """The best chain of matches that cannot be made longer, by trying all pairs."""
+    matches = []
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= shortest:
+                    matches.append((i + n, j + n, n))
+    best = {}
+    for at, end, n in sorted(matches):
+        follows = [best[m] + min(n, end - m[1], at - m[0]) for m in best if m[0] < at and m[1] < end and at - n - m[0] <= gap]
+        best[at, end, n] = max([n, *follows])
+    return max(best.values(), default=0)
+
+
+def test_chains_cover_as_much_as_trying_all_matches():
+    rng = random.Random(11)
+    for _ in range(150):
+        names = ["aa", "bb", "cc", "dd"][: rng.randint(2, 4)]
+        templates = [[rng.choice(names) for _ in range(rng.randint(4, 14))] for _ in range(3)]
+        settings = licences.Settings(tuple((str(k), " ".join(t)) for k, t in enumerate(templates)), (), 2, 3, 0.8)
+        text = [w for _ in range(3) for w in rng.choice(templates)] + [rng.choice(names) for _ in range(4)]
+        text = [rng.choice([*names, "other"]) if rng.random() < 0.15 else w for w in text]
+        raw = " ".join(text).encode()
+        got = licences.Scanner(settings)(licences.np.frombuffer(raw, licences.np.uint8), licences.np.array([0, len(raw)]))
+        wanted = [_most_covered(t, text, 2, 3) / len(t) for t in templates]
+        for k, part in enumerate(wanted):
+            assert max((s["covered"] for s in got["spans"][0] if s["template"] == k), default=0) == part
+        assert got["score"][0] == max(wanted)
+        assert got["labels"][0] == ",".join(str(k) for k, part in enumerate(wanted) if part >= 0.8)
