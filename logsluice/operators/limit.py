@@ -24,6 +24,8 @@ RANGES = 1 << 16
 GROWTH = 8
 # Lines and files looked at one after the other before any file is counted as a whole.
 HEAD_LINES, HEAD_FILES = 4096, 16
+# Bytes of lines that may come to the driver and become part of the plan.
+HEAD_BYTES = 4 << 20
 
 
 def limit_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
@@ -62,8 +64,8 @@ def limit_lines(lines: DataFrame, options: JobOptions) -> DataFrame:
 def limit_source(spark: SparkSession, options: JobOptions) -> DataFrame:
     """Lines of the source in file order, up to the one holding the last wanted record.
 
-    A small limit is met from the first lines, which are read a few splits at a time and
-    become part of the plan. Else files are counted in batches that grow; the file in which
+    A small limit is found among the first lines, which are read a few splits at a time; a few
+    megabytes of them become part of the plan. Else files are counted in batches that grow; the file in which
     the limit falls is stored once, and cut there. The result is the same however Spark cuts
     splits when it is read, as only whole files are read from the source again.
     """
@@ -105,39 +107,48 @@ def _as_bytes(lines: DataFrame) -> DataFrame:
 def _head(spark: SparkSession, options: JobOptions, files: list[str]) -> DataFrame | None:
     """The cut lines if the limit, or the end of the source, is among the first lines; else None.
 
-    At most HEAD_LINES lines come to the driver. Of a file, Spark runs one split, then some
-    more, until it has them.
+    Positions and sizes of the wanted number of lines come to the driver, then of more, up to
+    HEAD_LINES. Of a file, Spark runs one split, then some more, until it has them. The lines
+    themselves follow if those of the last file, up to the cut, have HEAD_BYTES at most.
     """
     uri, region = options.require_source(), options.region
-    found, previous = [], None
+    wanted, room, previous = options.max_records, HEAD_LINES, None
+    columns = ("line_no.block", "line_no.row", F.octet_length("value").alias("size"), "passes")
     for file in files[:HEAD_FILES]:
-        one_file = _as_bytes(read_lines(spark, uri, region, after=previous, upto=file))
-        room = HEAD_LINES - len(found)
-        rows = sorted(one_file.take(room), key=lambda r: (r.line_no.block, r.line_no.row))
-        found += [(*r.line_no, r.value) for r in rows]
-        previous = file
-        if len(rows) == room:
-            break
-        head = _local(spark, found)
-        if file == files[-1] or _passing(head, options).count() >= options.max_records:
-            return _cut_rows(head, found, options)
-    if not found:
+        one_file = read_lines(spark, uri, region, after=previous, upto=file)
+        tested = with_passes(classify_lines(one_file), options).select(*columns)
+        earlier = None if previous is None else read_lines(spark, uri, region, upto=previous)
+        asked = min(wanted, room)
+        while True:
+            rows = sorted(tested.take(asked), key=lambda r: (r.block, r.row))
+            hits = [k for k, r in enumerate(rows) if r.passes]
+            if len(hits) >= wanted:
+                return _fetched(one_file, rows[: hits[wanted - 1] + 1], earlier)
+            if len(rows) < asked:
+                break
+            if asked == room:
+                return None
+            asked = min(2 * asked, room)
+        wanted, room, previous = wanted - len(hits), room - len(rows), file
+        if room == 0:
+            return None
+    return read_source(spark, options) if len(files) <= HEAD_FILES else None
+
+
+def _fetched(one_file: DataFrame, rows: list, earlier: DataFrame | None) -> DataFrame | None:
+    """``earlier`` and the lines of one file at the positions of ``rows``, its first ones, as part of
+    the plan; None if they are too large for the driver or not there any more."""
+    if sum(r.size for r in rows) > HEAD_BYTES:
         return None
-    head = _local(spark, found)
-    return _cut_rows(head, found, options) if _passing(head, options).count() >= options.max_records else None
-
-
-def _local(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    lines = spark.createDataFrame(rows, "file string, block long, row long, value binary")
-    return lines.select(F.struct("file", "block", "row").alias("line_no"), F.col("value").cast("string").alias("value"))
-
-
-def _cut_rows(head: DataFrame, rows: list[tuple], options: JobOptions) -> DataFrame:
-    passing = sorted(tuple(r.line_no) for r in _passing(head, options).collect())
-    if len(passing) < options.max_records:
-        return head
-    last = passing[options.max_records - 1]
-    return _local(head.sparkSession, [r for r in rows if r[:3] <= last])
+    block, row = F.col("line_no.block"), F.col("line_no.row")
+    last = rows[-1]
+    upto = _as_bytes(one_file).where((block < last.block) | ((block == last.block) & (row <= last.row)))
+    found = sorted((*r.line_no, r.value) for r in upto.take(len(rows)))
+    if [f[1:3] for f in found] != [(r.block, r.row) for r in rows]:
+        return None
+    lines = one_file.sparkSession.createDataFrame(found, "file string, block long, row long, value binary")
+    cut = lines.select(F.struct("file", "block", "row").alias("line_no"), F.col("value").cast("string").alias("value"))
+    return cut if earlier is None else earlier.unionByName(cut)
 
 
 def _passing(lines: DataFrame, options: JobOptions) -> DataFrame:

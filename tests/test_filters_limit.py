@@ -180,6 +180,28 @@ def test_a_small_limit_reads_a_few_splits(spark, many_splits):
     assert max(tasks) <= spark.sparkContext.defaultParallelism
 
 
+def test_large_lines_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
+    large = LIST_CARTS[:-1] + ',"extra":"' + "x" * 600_000 + '"}'
+    lines = [BAD, *[large] * 11, OPEN_DOOR]
+    (tmp_path / "a.ndjson").write_text("\n".join(lines))
+    (tmp_path / "b.ndjson").write_text("\n".join(lines))
+    taken, take = [], type(spark.range(1)).take
+
+    def counted(self, n):
+        rows = take(self, n)
+        taken.append(sum(len(v) for r in rows for v in r if isinstance(v, (str, bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(spark.range(1)), "take", counted)
+    for wanted, bytes_taken in ((1, 700_000), (10, 0), (13, 2_000_000), (21, 0), (99, 0)):
+        taken.clear()
+        settings = JobOptions.create("http://h", input_path=str(tmp_path), path_prefixes=["/api"], max_records=wanted)
+        cut = limit.limit_source(spark, settings)
+        assert sum(taken) <= bytes_taken
+        read = plain_cut(lines * 2, wanted)
+        assert [r.value for r in cut.orderBy("line_no").collect()] == (lines * 2)[:read]
+
+
 def test_names_are_no_patterns_and_hidden_files_are_refused(spark, tmp_path):
     for name in ("a[1].ndjson", "{b}.ndjson", "c*d?.ndjson", "plain.ndjson"):
         (tmp_path / name).write_text(f"{LIST_CARTS}\n{name}")
