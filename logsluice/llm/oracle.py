@@ -40,7 +40,63 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 20
 """
 
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf(**changed: str) -> str:
+    texts = [changed.get(c, f"CAST({c} AS VARCHAR)") for c in _FIELDS]
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({x}), ':', {x}), '-')" for x in texts) + "))"
+
+
+#: CRC-32 bit by bit over the digits of ``doc_id``.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+    lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+#: A tree's levels as lists, for each group ``g``; a node's siblings and its way up, step by step.
+_UP = """
+  UNION ALL
+  SELECT g, h + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], nodes[i + 2]))) FROM {levels} WHERE len(nodes) > 1
+"""
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf(n_chars="CAST(n_chars::HUGEINT + 1 AS VARCHAR)")} END AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), levels(g, h, nodes) AS (
+  SELECT g, 0, list(leaf ORDER BY pos) FROM placed GROUP BY g
+  {_UP.format(levels="levels")}
+), subroots AS (
+  SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM levels WHERE len(nodes) = 1
+), tops(g, h, nodes) AS (
+  SELECT '', 0, list(subroot ORDER BY pos) FROM subroots
+  {_UP.format(levels="tops")}
+), sides AS (
+  SELECT p.doc_id, p.g, p.pos, l.h, (p.pos >> l.h) & 1 AS right_one, l.nodes[xor(p.pos >> l.h, 1) + 1] AS sibling
+  FROM placed p JOIN levels l ON l.g = p.g WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.g, p.pos, 1000 + t.h, (s.pos >> t.h) & 1, t.nodes[xor(s.pos >> t.h, 1) + 1]
+  FROM placed p JOIN subroots s ON s.g = p.g CROSS JOIN tops t WHERE len(t.nodes) > 1
+), ways AS (
+  SELECT g, pos, list(concat(CASE WHEN sibling IS NULL THEN '-' WHEN right_one = 1 THEN 'l' ELSE 'r' END, sibling) ORDER BY h) AS way
+  FROM sides GROUP BY g, pos
+), joined AS (
+  SELECT p.*, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root, coalesce(w.way, []) AS way
+  FROM placed p JOIN subroots s ON s.g = p.g LEFT JOIN ways w ON w.g = p.g AND w.pos = p.pos
+), folded AS (
+  SELECT *, list_reduce(way, lambda x, s: CASE s[1] WHEN '-' THEN sha256(x) WHEN 'l' THEN sha256(concat(s[2:], x)) ELSE sha256(concat(x, s[2:])) END,
+    coalesce(claimed, leaf)) AS folded_root
+  FROM joined
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s[2:]), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded
+"""
+
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op8_exact_top_k": OP8,
+    "op11_merkle_manifest": OP11,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, kneser_ney, licences, packing, pieces, quality, repeats, shingle_join, voronoi
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, merkle, packing, pieces, quality, repeats, shingle_join, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs, repeats.find_repeats(docs), kept_as=None).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    more = F.col("n_chars").cast("decimal(38,0)") + 1
+    fields = [F.col(c) for c in docs.columns]
+    claimed = F.when(_remainder("doc_id", 7) == 0, merkle.leaf(*fields[:3], more, fields[4]))
+    rows = merkle.manifest(docs, "lang", "doc_id", merkle.leaf(*fields), claimed).rows
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return folded.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.node(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -109,4 +127,5 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
