@@ -48,11 +48,13 @@ def _leaf(**changed: str) -> str:
     return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({x}), ':', {x}), '-')" for x in texts) + "))"
 
 
-#: CRC-32 bit by bit over the digits of ``doc_id``.
-_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, bit by bit."""
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT),
   lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
     lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
 
+
 #: A tree's levels as lists, for each group ``g``; a node's siblings and its way up, step by step.
 _UP = """
   UNION ALL
@@ -61,7 +63,7 @@ _UP = """
 OP11 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf,
-    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf(n_chars="CAST(n_chars::HUGEINT + 1 AS VARCHAR)")} END AS claimed
+    CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf(n_chars="CAST(n_chars::HUGEINT + 1 AS VARCHAR)")} END AS claimed
   FROM documents
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
@@ -95,8 +97,38 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, l
 FROM folded
 """
 
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), hashed AS (
+  SELECT run, length(run) AS size, {_crc("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)")} AS h FROM runs WHERE length(run) >= 6
+), words AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN concat(run[1:h % size], run[h % size + 2:]) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+), holes AS (
+  SELECT word, n, i, concat(word[1:i], word[i + 2:]) AS rest FROM words, unnest(range(0, length(word))) AS t(i)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chains AS (
+  SELECT word, word AS root FROM forms
+  UNION SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c ON c.word = f.word JOIN forms r ON r.word = c.root WHERE r.form IS NULL
+"""
+
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op8_exact_top_k": OP8,
     "op11_merkle_manifest": OP11,
+    "op12_spelling_variants": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import chat, fingerprint, kneser_ney, licences, merkle, packing, pieces, quality, repeats, shingle_join, voronoi
+from logsluice.llm import chat, fingerprint, kneser_ney, licences, merkle, packing, pieces, pii, quality, repeats, shingle_join, spelling, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +116,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the texts, one run in 199 with a character left out, as its own hash tells."""
+    runs = spelling.runs(_table(spark, sf_dir, "documents"), "doc_id")
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    hashed = runs.withColumn("h", F.crc32(named.cast("binary")))
+    damaged = spelling.without_character(F.col("run"), (F.col("h") % F.char_length("run")).cast("int"))
+    return spelling.variants(hashed.select(F.when(F.col("h") % 199 == 0, damaged).otherwise(F.col("run")).alias("word")))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -128,4 +141,6 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_pii": op13_pii,
 }
