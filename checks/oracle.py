@@ -246,7 +246,29 @@ def filtered(predicate: str) -> str:
     return f"SELECT line_no, method, path, status FROM ({TRAFFIC}) t WHERE {predicate}"
 
 
+# The lines of one file of four are lost; one line stands for them.
+SURVIVING = """(SELECT line_class, method, path, status FROM classed WHERE line_no % 4 <> 2
+  UNION ALL SELECT 'io_error', NULL, NULL, NULL) s"""
+
+# Five deliveries by time, every tenth row in the last; a window of 6 hours is late an hour behind all earlier deliveries.
+LATE_ROWS = f"""WITH bounds AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+chunked AS (SELECT line_no, epoch_us(ts) AS us, CASE WHEN line_no % 10 = 0 THEN 4
+    ELSE least(4, (epoch_us(ts) - low) * 5 // (high - low)) END AS chunk FROM ({TRAFFIC}) t, bounds),
+marks AS (SELECT c.chunk, max(e.latest) - 3600000000 AS mark
+  FROM (SELECT DISTINCT chunk FROM chunked) c
+  LEFT JOIN (SELECT chunk, max(us) AS latest FROM chunked GROUP BY chunk) e ON e.chunk < c.chunk GROUP BY c.chunk)
+SELECT line_no, CASE WHEN (us // 21600000000 + 1) * 21600000000 <= mark THEN 'late' ELSE 'on_time' END AS verdict
+FROM chunked JOIN marks USING (chunk)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    for name in ("repeated_outcomes", "stream_running_report", "stream_repeated_outcomes"):
+        found[name] = found["stats_report"]
+    return found | {"rerun_requests": found["stored_requests"], "stream_status_pairs": found["status_pairs"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     traffic = f"({TRAFFIC}) t"
     page_query = "regexp_extract(url, '\\?([^#]*)', 1) || '&Session=s' || page_id || '&lang=x'"
     return {
@@ -323,4 +345,10 @@ def oracle_sql() -> dict[str, str]:
             epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) AS offset_us FROM {traffic}""",
         "stream_requests": DISPOSED,
         "stream_window_stats": WINDOWS,
+        "line_numbers": f"SELECT line_no % 4 AS part, row_number() OVER (PARTITION BY line_no % 4 ORDER BY line_no) - 1 AS row, "
+        f"value FROM ({LINES}) l",
+        "corrupt_files": f"{CLASSED} {funnel(READS, SURVIVING)}",
+        "stream_limited": f"""SELECT total_lines, blank_lines, json_errors, filtered_count, dispatched
+            FROM ({limited_funnel(GET_API, 1500)}) f""",
+        "stream_late_rows": LATE_ROWS,
     }

@@ -14,14 +14,15 @@ from logsluice.functions.headers import clean_headers
 from logsluice.functions.query_string import redact_query, request_url
 from logsluice.operators import stats
 from logsluice.operators.classify import classify_lines, rejected_lines
-from logsluice.operators.compare import status_mismatch
+from logsluice.operators.compare import first_outcomes, first_outcomes_of_stream, pair_counts, status_mismatch
 from logsluice.operators.filters import build_predicate
 from logsluice.operators.timing import peak_in_flight, rate_exceedance, replay_schedule
 from logsluice.options import JobOptions
 from logsluice.plans import jobs
 from logsluice.plans.sinks import summary_lines, write_requests, write_stats_json
-from logsluice.sources.lines import read_lines, stream_lines
+from logsluice.sources.lines import numbered_lines, stream_lines
 from logsluice.sources.outcomes import stream_outcomes
+from logsluice.streaming import landing
 from logsluice.streaming.jobs import start_request_stream, start_window_stats, window_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,8 @@ API_READS = JobOptions.create(
 EVERYTHING = JobOptions.create(BASE_URL)
 PASSING = JobOptions.create(BASE_URL, passthrough_keys="Token, authorization,host,session")
 FIRST_500 = JobOptions.create(BASE_URL, methods=["get"], path_prefixes=["/api"], max_records=500)
+FIRST_1500 = dataclasses.replace(FIRST_500, max_records=1500)
+PARTS = 4
 WINDOW, WATERMARK = "6 hours", "1 hour"
 
 
@@ -343,6 +346,127 @@ def stream_window_stats(spark, sf):
     )
 
 
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Every fourth line in one part, in order: a folder of a file each once written."""
+    parted = rows.select("line_no", "value", (F.col("line_no") % PARTS).alias("part"))
+    return parted.repartition(PARTS, "part").sortWithinPartitions("part", "line_no").drop("line_no")
+
+
+def line_numbers(spark, sf):
+    path = views.scratch_dir(spark)
+    _in_parts(views.lines(spark, sf)).write.partitionBy("part").text(path)
+    part = F.regexp_extract("line_no.file", r"part=(\d+)", 1).cast("long")
+    return numbered_lines(spark, path).select(part.alias("part"), "line_no.row", "value")
+
+
+def corrupt_files(spark, sf):
+    """Packed files, one of which breaks off in its first bytes."""
+    path = views.scratch_dir(spark)
+    rows = _in_parts(views.lines(spark, sf))
+    rows.where(F.col("part") != 2).write.partitionBy("part").option("compression", "gzip").text(path)
+    views.write_torn(rows.where(F.col("part") == 2), f"{path}/part=2", 5)
+    options = dataclasses.replace(API_READS, source_uri=path)
+    return jobs.funnel(jobs.surviving_source(spark, options)[0], options)
+
+
+def _by_time(rows: DataFrame, late: bool = False) -> list[DataFrame]:
+    """Fifths of the time span; with ``late``, some rows of all of them come last."""
+    micros = F.unix_micros("ts")
+    first, last = rows.agg(F.min(micros), F.max(micros)).first()
+    fifth = F.least(F.lit(4), F.expr(f"(unix_micros(ts) - {first}) * 5 div {last - first}"))
+    chunk = F.when(F.col("line_no") % 10 == 0, 4).otherwise(fifth) if late else fifth
+    return [rows.where(chunk == k) for k in range(5)]
+
+
+def _outcome_batches(spark, sf, start, late: bool = False, again: bool = False) -> DataFrame:
+    """What a stream stored that was stopped after each of five deliveries."""
+    base = views.scratch_dir(spark)
+    rows = views.traffic(spark, sf).select("line_no", "ts", "status", "latency_us", "error", "was_dry_run")
+    for chunk in _by_time(rows, late):
+        repeated = chunk.withColumns({"status": F.lit(500), "ts": F.col("ts") + F.expr("INTERVAL 1 MINUTE")})
+        for delivered in [chunk, repeated] if again else [chunk]:
+            delivered.write.mode("append").parquet(f"{base}/in")
+            outcomes = stream_outcomes(spark, f"{base}/in", rows.schema, "line_no", "ts")
+            start(outcomes, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def stream_late_rows(spark, sf):
+    landed = _outcome_batches(spark, sf, landing.start_landing, late=True)
+    return landing.judged_arrivals(landed, WINDOW, WATERMARK).select("line_no", "verdict")
+
+
+def stream_running_report(spark, sf):
+    cells = _outcome_batches(spark, sf, landing.start_running_cells, late=True)
+    return _flat_report(landing.running_report(cells)).select(*_OUTCOME_COLUMNS)
+
+
+def stream_repeated_outcomes(spark, sf):
+    def start(outcomes, *places, **trigger):
+        return landing.start_landing(first_outcomes_of_stream(outcomes, WATERMARK), *places, **trigger)
+
+    landed = _outcome_batches(spark, sf, start, again=True)
+    return _flat_report(stats.stats_report(landed)).select(*_OUTCOME_COLUMNS)
+
+
+def repeated_outcomes(spark, sf):
+    rows = views.traffic(spark, sf).select("line_no", "ts", "status", "latency_us", "error", "was_dry_run")
+    again = rows.withColumns({"status": F.lit(500), "ts": F.col("ts") + F.expr("INTERVAL 1 SECOND")})
+    return _flat_report(stats.stats_report(first_outcomes(again.unionByName(rows)))).select(*_OUTCOME_COLUMNS)
+
+
+def stream_limited(spark, sf):
+    """The funnel of a limited stream that was stopped after each of five deliveries."""
+    base = views.scratch_dir(spark)
+    rows = views.lines(spark, sf)
+    first, last = rows.agg(F.min("line_no"), F.max("line_no")).first()
+    step = (last - first) // 5 + 1
+    for low in range(first, last + 1, step):
+        chunk = rows.where(F.col("line_no").between(low, low + step - 1))
+        in_order = chunk.repartitionByRange(2, "line_no").sortWithinPartitions("line_no")
+        in_order.select("value").write.mode("append").text(f"{base}/in")
+        landing.run_limited_request_stream(
+            spark, stream_lines(spark, f"{base}/in"), FIRST_1500, f"{base}/out", f"{base}/checkpoint", availableNow=True
+        )
+    kept, kind = landing.limited_lines(spark, f"{base}/out", FIRST_1500.max_records), F.col("disposition")
+    return kept.agg(
+        F.count("*").alias("total_lines"),
+        F.count_if(kind == "blank").alias("blank_lines"),
+        F.count_if(kind == "json_error").alias("json_errors"),
+        F.count_if(kind == "filtered").alias("filtered_count"),
+        F.count_if(kind.isin("request", "sanitize_error")).alias("dispatched"),
+    )
+
+
+def stream_status_pairs(spark, sf):
+    """Recorded requests and their outcomes as two streams; a last pair far ahead moves the watermarks on."""
+    base = views.scratch_dir(spark)
+    rows = views.traffic(spark, sf)
+    recorded = rows.where("line_no % 23 <> 0").select("line_no", "ts", "status")
+    replayed = rows.where("line_no % 29 <> 0").select(
+        "line_no", (F.col("ts") + F.expr("INTERVAL 10 SECONDS")).alias("ts"), F.col("replayed_status").alias("status")
+    )
+    end = rows.agg(F.lit(-1).cast("long").alias("line_no"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(0).alias("status"))
+    both = zip([*_by_time(recorded), end], [*_by_time(replayed), end], strict=True)
+    for left, right in both:
+        left.select(recorded.columns).write.mode("append").parquet(f"{base}/recorded")
+        right.select(recorded.columns).write.mode("append").parquet(f"{base}/replayed")
+        sides = (spark.readStream.schema(recorded.schema).parquet(f"{base}/{side}") for side in ("recorded", "replayed"))
+        landing.start_status_pairs(*sides, f"{base}/out", f"{base}/checkpoint", "1 minute", "1 day", availableNow=True).awaitTermination()
+    pairs = spark.read.parquet(f"{base}/out").where("coalesce(recorded_no, replayed_no) >= 0")
+    return pair_counts(pairs)
+
+
+def rerun_requests(spark, sf):
+    """Requests by date, the first date of which is written a second time."""
+    path = views.scratch_dir(spark)
+    requests = jobs.sanitized_requests(views.full_lines(spark, sf), API_READS)
+    write_requests(requests, path)
+    first = spark.read.parquet(path).agg(F.min("date")).first()[0]
+    write_requests(requests.where(F.col("ts").cast("date") == F.lit(first)), path, mode="overwrite")
+    return _request_columns(spark.read.parquet(path).withColumn("date", F.col("date").cast("string")))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "filter_method": _filtered(JobOptions.create(BASE_URL, methods=["get", "POST"])),
@@ -392,6 +516,15 @@ def queries() -> dict[str, Query]:
         replay_gaps,
         stream_requests,
         stream_window_stats,
+        line_numbers,
+        corrupt_files,
+        repeated_outcomes,
+        rerun_requests,
+        stream_limited,
+        stream_late_rows,
+        stream_running_report,
+        stream_repeated_outcomes,
+        stream_status_pairs,
     ):
         found[run.__name__] = run
     return found

@@ -7,6 +7,10 @@ each template instead.
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,3 +161,19 @@ def full_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared one; a local one only in local mode."""
     return scratch_folder(spark)
+
+
+def write_torn(rows: DataFrame, folder: str, size: int) -> None:
+    """The first bytes of a packed file of ``value``, as if writing it had been broken off."""
+
+    def write(batches):
+        for batch in batches:
+            text = "".join(f"{v}\n" for v in batch.column(0).to_pylist())
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            with store.open_output_stream(f"{root}/torn.txt.gz", compression=None) as out:
+                out.write(gzip.compress(text.encode())[:size])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+            return
+
+    rows.select("value").coalesce(1).mapInArrow(write, "n long").collect()

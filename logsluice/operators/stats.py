@@ -55,15 +55,21 @@ def outcome_cells(outcomes: DataFrame, *group: str | Column) -> DataFrame:
 
     Works on batch and, with a window among ``group``, on streaming outcomes.
     """
+    return outcomes.groupBy(*group, *cell_columns()).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+def cell_columns() -> list[Column]:
+    """What tells the cells of outcomes apart."""
     dry = F.coalesce("was_dry_run", F.lit(False))
     live = ~dry
-    return outcomes.groupBy(
-        *group,
+    return [
         dry.alias("was_dry_run"),
         F.when(live, F.col("status")).alias("status"),
         F.when(live, error_category(F.col("error"))).alias("category"),
         F.when(live, latency_bucket(F.col("latency_us"))).alias("bucket"),
-    ).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    ]
 
 
 def tally(cells: DataFrame, *group: str) -> DataFrame:

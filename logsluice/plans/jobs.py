@@ -9,10 +9,12 @@ from logsluice.functions.decode import utc_timestamp
 from logsluice.operators.classify import classify_lines
 from logsluice.operators.dispatch import dry_run, has_valid_method, invalid_method_outcomes
 from logsluice.operators.filters import with_passes
-from logsluice.operators.limit import limit_lines, limit_source
+from logsluice.operators.limit import limit_lines, limit_source, numbered_limit
 from logsluice.operators.sanitize import sanitize, sanitize_error, sendable
 from logsluice.operators.stats import full_report, ingest_funnel, stats_report
 from logsluice.options import JobOptions
+from logsluice.sources.lines import numbered_lines
+from logsluice.sources.unreadable import find_unreadable, unreadable_table
 
 
 def judged_lines(lines: DataFrame, options: JobOptions, where: Column | None = None) -> DataFrame:
@@ -28,6 +30,20 @@ def source_lines(spark: SparkSession, options: JobOptions) -> DataFrame:
     return limit_source(spark, options)
 
 
+def numbered_source(spark: SparkSession, options: JobOptions) -> DataFrame:
+    """Like ``source_lines``, with numbers that come from the files alone: outcomes stored today join tomorrow."""
+    return numbered_limit(numbered_lines(spark, options.require_source(), options.region), options)
+
+
+def surviving_source(spark: SparkSession, options: JobOptions) -> tuple[DataFrame, DataFrame]:
+    """Lines of a source of which some files cannot be read, cut at ``max_records``, and these files with their errors.
+
+    The lines before a fault are kept, and the fault itself is one line that counts as an ``io_error``.
+    """
+    unreadable = find_unreadable(spark, options.require_source(), options.region)
+    return limit_source(spark, options, sorted(unreadable)), unreadable_table(spark, unreadable)
+
+
 def funnel(lines: DataFrame, options: JobOptions, where: Column | None = None) -> DataFrame:
     """What became of every line, as one row of counters."""
     return ingest_funnel(judged_lines(lines, options, where))

@@ -60,8 +60,11 @@ def summary_lines(report: DataFrame, interrupted: bool = False) -> DataFrame:
     return numbered.select("ord", "line.section", "line.label", "line.value")
 
 
-def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store requests by log date in UTC.
+def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists", max_rows: int = 1_000_000) -> None:
+    """Store requests by log date in UTC, in files of at most ``max_rows``.
+
+    ``mode="overwrite"`` replaces the dates that ``requests`` has and leaves all others as they are, so a
+    job over some days may run again. Rows without a date are one such part, too.
 
     Rows stay in the tasks that read them: logs are roughly in time order, so each
     task holds few dates and no date has to pass through one task.
@@ -69,7 +72,10 @@ def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists")
     micros, day = F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000
     days = (micros - F.pmod(micros, F.lit(day))) / F.lit(day)
     dated = requests.withColumn("date", F.date_from_unix_date(days.cast("int")))
-    dated.write.mode(mode).partitionBy("date").parquet(path)
+    writer = dated.write.mode(mode).option("maxRecordsPerFile", max_rows).partitionBy("date")
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def write_rejects(rejects: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -109,6 +109,11 @@ class LateRows(StreamingQueryListener):
         return self._dropped.get(str(query.id), 0)
 
 
+def start_parquet(rows: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Append the rows of a stream to a Parquet folder, exactly once."""
+    return _start(rows.writeStream, path, checkpoint, trigger)
+
+
 def _start(writer, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     if trigger:
         writer = writer.trigger(**trigger)
