@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logsluice.llm.words import row_groups, text_bytes
 
@@ -92,7 +93,8 @@ def sums_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "shard").sortWithinPartitions("shard")
+    """Each shard, numbered below ``n``, in a partition of its own."""
+    return df.repartitionById(n, F.col("shard")).sortWithinPartitions("shard")
 
 
 def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:

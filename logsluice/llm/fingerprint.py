@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from logsluice.llm.neighbours import with_successors
 from logsluice.llm.scale import parts
-from logsluice.llm.words import POWERS, byte_values, mix, row_groups, text_bytes
+from logsluice.llm.words import POWERS, byte_groups, byte_values, mix, row_groups, text_bytes
 
 WINDOW = 64
 NEIGHBOURHOOD = 64
@@ -201,7 +201,7 @@ def from_text(text: str) -> np.ndarray:
 def _chains(column: pa.Array, ranks: np.ndarray) -> list[np.ndarray]:
     data, offsets = text_bytes(column)
     chains: list[np.ndarray] = []
-    for lo, hi in row_groups(offsets, 1 << 20):
+    for lo, hi in byte_groups(offsets, 1 << 20):
         chains += filters(*select_features(data, offsets[lo : hi + 1], ranks), hi - lo)
     return chains
 

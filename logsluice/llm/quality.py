@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsluice.llm.scale import quoted
 from logsluice.llm.words import NOT_ALPHANUMERIC, WHITE_SPACE, ngrams, row_groups, split_words, text_bytes
 
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
@@ -104,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
 
     order = F.xxhash64("labelled_id")
     dealt = examples.select(F.pmod(order, F.lit(settings.learners)).cast("int").alias("learner"), F.col("label").cast("double"), "text", order.alias("order"), "labelled_id")
-    dealt = dealt.repartition(settings.learners, "learner").sortWithinPartitions("learner", "order", "labelled_id")
+    dealt = dealt.repartitionById(settings.learners, F.col("learner")).sortWithinPartitions("learner", "order", "labelled_id")
     learned = dealt.select("learner", "label", "text").mapInArrow(learn, "at array<long>, weights array<double>, bias double").collect()
     total = np.zeros(1 << settings.bits)
     for r in learned:
@@ -146,6 +147,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     settings = model.settings
     names = [c for c in docs.columns if c != into]
     text_at = names.index("text")
+    # Under names of their own, columns of any name can be sent to Python.
+    sent_as = [f"c{k}" for k in range(len(names))]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
@@ -155,8 +158,9 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
             for lo, hi in row_groups(offsets):
                 row, bucket, value = features(data, offsets[lo : hi + 1], settings)
                 sums[lo:hi] = np.bincount(row, weights=value * weights[bucket], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_logistic(sums + bias))], [*names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_logistic(sums + bias))], [*sent_as, "score"])
 
-    kept = docs.select(*names)
-    schema = kept.withColumn(into, F.lit(0.0)).schema
-    return kept.mapInArrow(rate, schema)
+    kept = docs.select(*(quoted(c).alias(s) for c, s in zip(names, sent_as, strict=True)))
+    schema = kept.withColumn("score", F.lit(0.0)).schema
+    back = [F.col(s).alias(c) for c, s in zip([*names, into], [*sent_as, "score"], strict=True)]
+    return kept.mapInArrow(rate, schema).select(*back)

@@ -63,7 +63,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality_model(spark, sf_dir)).select(
         "doc_id",
-        (_remainder("doc_id", 4) == 2).alias("held_out"),
+        F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"),
     )

@@ -24,12 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from logsluice.llm.counted import SLICE, added, dealt, hash_shard, packed, slice_schema, sums_by_shard
-from logsluice.llm.scale import parts, shared_folder
+from logsluice.llm.scale import parts, quoted, saved, shared_folder
 from logsluice.llm.shared_arrays import SharedArrays
 from logsluice.llm.suffixes import common_prefixes, suffix_array
-from logsluice.llm.words import POWERS, byte_values, mix, row_groups, text_bytes
+from logsluice.llm.words import POWERS, byte_groups, byte_values, mix, row_groups, text_bytes
 
 SHARD_BYTES = 8 << 20
 GRAM = 32
@@ -37,7 +38,8 @@ GRAM = 32
 MANY = 2048
 #: Bytes of segments sorted at once; an anchor is never split.
 SORTED = 1 << 20
-_BLOCK = 1 << 20
+#: Bytes that are cut at once: their arrays stay in a core's cache.
+_BLOCK = 1 << 17
 _PLACE = np.uint64(_BLOCK * 2 - 1)
 _FIRST, _SECOND, _THIRD = byte_values(3), byte_values(4), byte_values(5)
 
@@ -51,7 +53,7 @@ class Segments:
     windows: np.ndarray
     anchor: np.ndarray
     key: np.ndarray
-    spread: np.ndarray  # independent of the key: the shard, so that keys of a shard differ in more bits than they have
+    spread: np.ndarray  # the other half of the hash: the shard, so that keys of a shard differ in more bits than they have
 
 
 class Sums:
@@ -88,7 +90,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Segments:
 
 def _blocks(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
     """First row, first byte and end of blocks: several rows, or a part of one."""
-    for a, b in row_groups(offsets, _BLOCK):
+    for a, b in byte_groups(offsets, _BLOCK):
         lo, hi = int(offsets[a]), int(offsets[b])
         if hi - lo <= _BLOCK:
             yield a, lo, hi
@@ -115,10 +117,11 @@ def _block_segments(data, offsets, row, lo, hi, length) -> tuple:
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     count = np.diff(np.append(new, total))
     first, anchors = at[new], grams[anchor[new]]
-    size = count + length - 1
-    one = mix(Sums(x, _SECOND)(first, size) + size.astype(np.uint64))
-    two = mix(Sums(x, _THIRD)(first, size) + anchors)
-    return of_row[new], first + lo, count, anchors, mix(one + anchors * np.uint64(3)), two
+    held = memoryview(x)
+    ends = (first + count + length - 1).tolist()
+    digests = b"".join(xxh3_128_digest(held[a:b]) for a, b in zip(first.tolist(), ends, strict=True))
+    halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    return of_row[new], first + lo, count, anchors, halves[:, 0], halves[:, 1]
 
 
 def _window_keys(data: np.ndarray, own: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,8 +197,8 @@ def _slices(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> Iterato
             yield packed(int(shards[a]), keys[a:b], counts[a:b])
 
 
-def _count_segments(texts: DataFrame, found: Found) -> None:
-    """Write the keys of segments that occur twice, and the anchors of several segments."""
+def _count_segments(texts: DataFrame, found: Found) -> int:
+    """Write the keys of segments that occur twice, and the anchors of several segments; how many have very many."""
     arrays, shards, length = SharedArrays(found.folder), found.shards, found.length
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +231,7 @@ def _count_segments(texts: DataFrame, found: Found) -> None:
 
     counted = texts.mapInArrow(count, SLICE + ", anchors binary")
     anchors = dealt(counted, shards).mapInArrow(write, SLICE)
-    dealt(anchors, shards).mapInArrow(write_anchors, "n long").agg(F.sum("n")).collect()
+    return dealt(anchors, shards).mapInArrow(write_anchors, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _keyed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -260,9 +263,13 @@ def _steps(row: dict) -> np.ndarray:
     return (high << np.uint64(32)) | low
 
 
-def _sort_segments(texts: DataFrame, found: Found) -> None:
-    """Write the repeated windows of the segments of anchors that have several."""
+def _sort_segments(texts: DataFrame, found: Found, wide: bool) -> None:
+    """Write the repeated windows of the segments of anchors that have several.
+
+    With ``wide`` there are anchors that have very many: the keys of their windows that occur twice are written.
+    """
     arrays, shards, length = SharedArrays(found.folder), found.shards, found.length
+    counted = [("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())]
     fields = [("shard", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("own_shard", pa.int32()), ("whole", pa.bool_()), ("bytes", pa.binary())]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +278,10 @@ def _sort_segments(texts: DataFrame, found: Found) -> None:
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in row_groups(offsets):
                 s = segments(data, offsets[lo : hi + 1], length)
+                if wide:
+                    slices = list(_window_slices(data, _chosen(s, reader.has("wide", s.anchor, s.anchor)), length, shards))
+                    if slices:
+                        yield pa.RecordBatch.from_pylist(slices, pa.schema([*fields, *counted]))
                 mine = np.flatnonzero(reader.has("anchors", s.anchor, s.anchor))
                 whole = reader.has("segments", s.key[mine], s.spread[mine])
                 shard, own = hash_shard(s.anchor[mine], shards), _shard(s.spread[mine], shards)
@@ -285,7 +296,10 @@ def _sort_segments(texts: DataFrame, found: Found) -> None:
                     at = int(s.start[i])
                     rows.append((int(shard[k]), s.anchor[i].astype(np.int64), s.key[i].astype(np.int64), int(own[k]), bool(whole[k]), data[at : at + int(s.windows[i]) + length - 1].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+                    made = [pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)]
+                    if wide:
+                        made += [pa.nulls(len(rows), t) for _, t in counted]
+                    yield pa.RecordBatch.from_arrays(made, [n for n, _ in [*fields, *counted]][: len(made)])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size, anchor, last = [], 0, None, None
@@ -304,6 +318,11 @@ def _sort_segments(texts: DataFrame, found: Found) -> None:
         if group:
             yield from _repeated_windows(group, length)
 
+    def write_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, keys, times in sums_by_shard(batches):
+            arrays.write(f"windows-{shard}", keys[times > 1])
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         shard = None
@@ -318,7 +337,14 @@ def _sort_segments(texts: DataFrame, found: Found) -> None:
             _write_parts(arrays, shard, held)
         yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
 
-    sent = texts.mapInArrow(send, "shard int, anchor long, key long, own_shard int, whole boolean, bytes binary")
+    schema = "shard int, anchor long, key long, own_shard int, whole boolean, bytes binary"
+    if wide:
+        both = saved(texts.mapInArrow(send, schema + ", low binary, high binary, counts binary"), "segments")
+        windows = both.where("bytes IS NULL").select("shard", "low", "high", "counts")
+        dealt(windows, shards).mapInArrow(write_windows, "n long").agg(F.sum("n")).collect()
+        sent = both.where("bytes IS NOT NULL").drop("low", "high", "counts")
+    else:
+        sent = texts.mapInArrow(send, schema)
     sent = sent.repartition(shards, "anchor").sortWithinPartitions("anchor", "key", "own_shard")
     solved = sent.mapInArrow(solve, "shard int, key long, first long, n long")
     dealt(solved, shards).mapInArrow(write, "n long").agg(F.sum("n")).collect()
@@ -370,33 +396,16 @@ def _repeated_windows(group: list[dict], length: int) -> Iterator[pa.RecordBatch
     )
 
 
-def _count_windows(texts: DataFrame, found: Found) -> None:
-    """Write the keys of windows that occur twice, of anchors with very many segments."""
-    arrays, shards, length = SharedArrays(found.folder), found.shards, found.length
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(found, 1)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for lo, hi in row_groups(offsets):
-                s = segments(data, offsets[lo : hi + 1], length)
-                own = _chosen(s, reader.has("wide", s.anchor, s.anchor))
-                keys, spread, _, _ = _window_keys(data, own, length)
-                if not len(keys):
-                    continue
-                shard = _shard(spread, shards)
-                order = np.lexsort((keys, shard))
-                keys, shard = keys[order], shard[order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])]))
-                times = np.diff(np.append(first, len(keys)))
-                yield pa.RecordBatch.from_pylist(list(_slices(keys[first], times, shard[first])), slice_schema())
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, times in sums_by_shard(batches):
-            arrays.write(f"windows-{shard}", keys[times > 1])
-        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
-
-    dealt(texts.mapInArrow(count, SLICE), shards).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+def _window_slices(data: np.ndarray, own: Segments, length: int, shards: int) -> Iterator[dict]:
+    """The windows of some segments, counted and packed by shard."""
+    keys, spread, _, _ = _window_keys(data, own, length)
+    if not len(keys):
+        return
+    shard = _shard(spread, shards)
+    order = np.lexsort((keys, shard))
+    keys, shard = keys[order], shard[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])]))
+    yield from _slices(keys[first], np.diff(np.append(first, len(keys))), shard[first])
 
 
 def _chosen(s: Segments, mine: np.ndarray) -> Segments:
@@ -407,9 +416,8 @@ def find_repeats(docs: DataFrame, length: int = 200) -> Found:
     """Sort what may occur twice in all ``text``; what was found stays in the shared folder."""
     found = Found(shared_folder(docs.sparkSession, "repeats"), parts(docs, SHARD_BYTES), length)
     texts = docs.select(F.col("text").cast("string"))
-    _count_segments(texts, found)
-    _sort_segments(texts, found)
-    _count_windows(texts, found)
+    wide = _count_segments(texts, found)
+    _sort_segments(texts, found, wide > 0)
     return found
 
 
@@ -484,9 +492,8 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
 
     A text from which nothing is removed keeps its rows as they are, null included.
     """
-    columns = docs.columns
-    made = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    safe = docs.select(*(F.col(c).alias(f"_{c}" if c in made else c) for c in columns))
+    # Names of the caller's columns are set aside, so that none can meet a made one.
+    safe = docs.select(*(quoted(c).alias("text" if c == "text" else f"c{k}") for k, c in enumerate(docs.columns)))
     cut = remove_repeats(safe, find_repeats(docs, length), "string")
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return cut.select(*(F.col(f"_{c}" if c in made else c).alias(c) for c in columns))
+    return cut.select(*(F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

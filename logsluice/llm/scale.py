@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's size of a plan that it knows nothing about, or more.
 _UNKNOWN = 1 << 60
@@ -34,3 +35,8 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

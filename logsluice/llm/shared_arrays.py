@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 
 import numpy as np
 from pyarrow import fs
 
+# Python up to 3.12 keeps a file open as long as it is mapped.
+_NOT_KEPT = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
 
 class SharedArrays:
     """Arrays by name. A file appears whole or not at all, so a task that runs again may write it again."""
@@ -37,11 +42,18 @@ class SharedArrays:
         """Mapped where the folder is mounted; else a copy is mapped that goes with the process."""
         store, root = self._at()
         if isinstance(store, fs.LocalFileSystem):
-            path = f"{root}/{name}"
-            return np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+            with open(f"{root}/{name}", "rb") as file:
+                return _mapped(file, dtype)
         with tempfile.NamedTemporaryFile() as copy:
             with store.open_input_stream(f"{root}/{name}") as source:
                 while block := source.read(1 << 24):
                     copy.write(block)
             copy.flush()
-            return np.memmap(copy.name, dtype, mode="r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
+            return _mapped(copy, dtype)
+
+
+def _mapped(file, dtype) -> np.ndarray:
+    """The array of an open file, which needs not stay open: a worker may hold more arrays than files."""
+    if not os.fstat(file.fileno()).st_size:
+        return np.zeros(0, dtype)
+    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_NOT_KEPT), dtype)

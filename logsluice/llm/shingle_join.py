@@ -20,16 +20,18 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.llm.components import components
 from logsluice.llm.counted import SLICE, counting, dealt, hash_shard, sums_by_shard
-from logsluice.llm.scale import parts, saved, shared_folder
+from logsluice.llm.scale import parts, quoted, saved, shared_folder
 from logsluice.llm.shared_arrays import SharedArrays
 from logsluice.llm.words import mix, ngrams, row_groups, split_words, text_bytes
 
 SHARD_BYTES = 8 << 20
+#: What tells rows apart whose ids repeat: the id and two hashes of the text.
+KEY = "struct<doc_id: bigint, one: bigint, two: bigint>"
 #: Orders beside the first.
 MORE_ORDERS = 2
 
@@ -121,7 +123,7 @@ def _least_shared(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _members(docs: DataFrame, settings: Settings, shared: Shared) -> DataFrame:
+def _members(docs: DataFrame, settings: Settings, shared: Shared, key: str) -> DataFrame:
     """Per row: ``doc_id``, ``n``, ``set`` (128 bits that stand for the whole set), and for rows that may
     link with another set their shared ``tokens``, the prefix of each order, and ``unique``, how many
     tokens stand before the shared ones."""
@@ -143,8 +145,8 @@ def _members(docs: DataFrame, settings: Settings, shared: Shared) -> DataFrame:
                     columns[name] = pa.array([None if r[3] is None else r[3][k].astype(kind) for r in rows], lists)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, n long, set binary, unique long, " + ", ".join(f"{x} array<{number}>" for x in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(describe, schema)
+    schema = f"doc_id {key}, n long, set binary, unique long, " + ", ".join(f"{x} array<{number}>" for x in names)
+    return docs.select(F.col("doc_id").cast(key), F.col("text").cast("string")).mapInArrow(describe, schema)
 
 
 def _described(tokens: np.ndarray, settings: Settings, shared: Shared) -> tuple:
@@ -181,14 +183,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(reduce(Column.__and__, filters)).where(linked).select("a", "b")
 
 
-def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Rows (``doc_id``, ``n``, ``set``) and the components (``set``, ``component``) of sets that link with others.
+def links(docs: DataFrame, settings: Settings = Settings(), key: str = "long") -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Rows (``doc_id`` as ``key``, ``n``, ``set``) and the components (``set``, ``component``) of sets that link with others.
 
     Two sets link when 100 * intersection >= percent * union. Null texts and texts without words
     have a null ``set``. Sets are compared by 64-bit hashes of their shingles.
     """
     shared = count_tokens(docs, settings)
-    members = saved(_members(docs, settings, shared), "members")
+    members = saved(_members(docs, settings, shared, key), "members")
     classes = members.where("tokens IS NOT NULL").groupBy("set")
     columns = ["n", "unique", "tokens", *(f"prefix{k}" for k in range(MORE_ORDERS + 1))]
     classes = saved(classes.agg(*(F.first(c).alias(c) for c in columns)), "classes")
@@ -239,14 +241,26 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """``docs`` with one row of each component, that of the smallest ``doc_id`` (then text).
+    """``docs`` with one row of each component, that of the smallest ``doc_id`` (null last, then by the text's hash).
 
-    Texts without words link with nothing and stay, as do rows without an id.
+    Texts without words link with nothing, and all their rows stay. Rows are told apart by id and
+    text: other texts of an id stay unless they link with something. Of rows that have both in common, which
+    are copies, one stays.
     """
-    columns = docs.columns
-    found = near_duplicates(docs, settings).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    kept = docs.join(found, "doc_id", "left").where("_component IS NULL OR _component = doc_id")
-    again = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_again", F.when(F.col("_component").isNotNull(), F.row_number().over(again)).otherwise(1))
-    return kept.where("_again = 1").select(*columns)
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
+    members, found = links(docs.select(key.alias("doc_id"), "text"), settings, KEY)
+    placed = members.where("set IS NOT NULL").join(found, "set", "left").select("doc_id", F.coalesce("component", "set").alias("component"))
+    counted = placed.groupBy("component", "doc_id").agg(F.count("*").alias("times"))
+    first = F.min_by(F.struct("doc_id", "times"), F.struct(F.col("doc_id.doc_id").isNull(), "doc_id")).alias("first")
+    chosen = counted.groupBy("component").agg(first).select(F.col("first.doc_id").alias("key"), "first.times")
+    # The caller's columns travel in one, so that no name of theirs can meet one of these.
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), key.alias("key"))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    stay = packed.join(chosen, "key")
+    others = [F.col("row").getField(c) for c in docs.columns if c.lower() != "text"]
+    order = F.xxhash64(F.to_json(F.struct(*(o.alias(f"c{k}") for k, o in enumerate(others)))))
+    copies = stay.where("times > 1").groupBy("key").agg(F.min_by("row", order).alias("row"))
+    rows = stay.where("times = 1").select("row").unionByName(copies.select("row"))
+    rows = rows.unionByName(packed.where(~F.coalesce(worded, F.lit(False))).select("row"))
+    return rows.select("row.*")

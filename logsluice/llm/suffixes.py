@@ -25,7 +25,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ordered = rough[is_mark[rough]]
     names = _names(text, marks, ordered)
     if names.max() + 1 < len(marks):
-        order = suffix_array(names) if names.max() < BUCKETS else _by_rank_pairs(names)
+        order = suffix_array(names.astype(np.int16)) if names.max() < BUCKETS else _by_rank_pairs(names)
         ordered = marks[order]
     return _induced(text, kinds, ordered)
 
@@ -146,22 +146,47 @@ def _by_rank_pairs(names: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, room: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """In the order of the text: what a suffix shares with the one before it in ``order``, and that one (-1: none).
 
-    A prefix counts up to ``room`` symbols of both suffixes and up to ``most``.
+    A prefix counts up to ``room`` symbols of both suffixes and up to ``most``. Where a suffix and the one
+    before it in order stand behind equal symbols, they share one symbol less than the suffixes that
+    start there do, so prefixes are only looked up where those symbols differ.
     """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, dtype=np.int64)
-    at = np.flatnonzero(before >= 0)
-    other = before[at]
-    limit = np.minimum(np.minimum(room[at], room[other]), most)
+    places = np.arange(n)
+    own = (places == 0) | (before <= 0)
+    own[1:] |= text[:-1] != text[before[1:] - 1]
+    at = np.flatnonzero(own & (before >= 0))
+    found = np.zeros(n, dtype=np.int64)
+    found[at] = _shared(text, at, before[at])
+    last = np.maximum.accumulate(np.where(own, places, 0))
+    shared = np.maximum(found[last] - (places - last), 0)
+    return np.where(before < 0, 0, np.minimum(np.minimum(shared, most), np.minimum(room, room[before]))), before
+
+
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` share, by hashes of four times as many each time, then halves."""
     sums, inverse = _sums(text)
-    size = np.zeros(len(at), dtype=np.int64)
-    step = 1 << int(most).bit_length()
-    while step:
-        tried = np.minimum(size + step, limit)
-        same = (sums[at + tried] - sums[at]) * inverse[at] == (sums[other + tried] - sums[other]) * inverse[other]
-        size = np.where(same, tried, size)
-        step >>= 1
-    shared[at] = size
-    return shared, before
+    limit = len(text) - np.maximum(a, b)
+    low, high = np.zeros(len(a), np.int64), limit + 1
+    rest, reach = np.arange(len(a)), np.minimum(8, limit)
+
+    def equal(k: np.ndarray, size: np.ndarray) -> np.ndarray:
+        x, y = a[k], b[k]
+        return (sums[x + size] - sums[x]) * inverse[x] == (sums[y + size] - sums[y]) * inverse[y]
+
+    while len(rest):
+        same = equal(rest, reach)
+        high[rest[~same]] = reach[~same]
+        low[rest[same]] = reach[same]
+        rest, reach = rest[same], reach[same]
+        further = reach < limit[rest]
+        rest, reach = rest[further], np.minimum(4 * reach[further], limit[rest[further]])
+    rest = np.flatnonzero(high - low > 1)
+    while len(rest):
+        middle = (low[rest] + high[rest]) // 2
+        same = equal(rest, middle)
+        low[rest[same]] = middle[same]
+        high[rest[~same]] = middle[~same]
+        rest = rest[high[rest] - low[rest] > 1]
+    return low

@@ -101,14 +101,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_groups(offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold ``size`` bytes at most, or one row."""
+    """Ranges of rows of a batch that hold ``size`` bytes at most, or one row; memory is given back behind the last."""
+    yield from byte_groups(offsets, size)
+    release_memory()
+
+
+def byte_groups(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
-    release_memory()
 
 
 def release_memory() -> None:

@@ -122,3 +122,44 @@ def test_run_goes_through_all_stages(spark, corpus):
     want = sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in docs.collect())
     got = sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect())
     assert got == want and got
+
+
+CLASHING = ("_component", "_again", "_score", "score", "kept", "_kept", "N_BYTES", "n_removed", "c0", "key", "row", "set", "component", "times", "a b", "x.y")
+
+
+def test_names_of_the_caller_s_columns_meet_none_of_the_stages(spark, corpus):
+    folder, texts = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs
+    for name in CLASHING:
+        wide = wide.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, folder)
+        assert got.schema == wide.schema, name
+        rows = got.collect()
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING)
+        plain = {(r.doc_id, r.text) for r in stage(spark, docs, folder).collect()}
+        assert {(r.doc_id, r.text) for r in rows} == plain and len(rows) == len(plain)
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert sorted(map(tuple, stage(spark, wide, folder).collect())) == sorted(map(tuple, stage(spark, docs, folder).collect()))
+
+
+def test_texts_of_one_id_and_rows_without_one_stay_unless_they_are_copies(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (_prose(rng, 60) for _ in range(5))
+    rows = [(5, a), (5, b), (5, a), (6, c), (None, d), (None, e), (7, d), (8, None), (8, ""), (8, " \n"), (None, None), (6, c.upper()), (9, b + " more"), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(4)
+    one = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    kept = Counter((r.doc_id, r.text) for r in one.collect())
+    # Of c and its other case, which are one document, the hash of the text chooses.
+    of_c = {k: n for k, n in kept.items() if k[0] == 6}
+    assert list(of_c.values()) == [1] and set(of_c) <= {(6, c), (6, c.upper())}
+    rest = kept - Counter(of_c)
+    assert rest == Counter([(5, a), (5, b), (None, e), (7, d), (8, None), (8, ""), (8, " \n"), (None, None)])
+
+
+def test_stages_of_an_empty_table(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
