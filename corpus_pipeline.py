@@ -15,8 +15,10 @@ from logsluice.llm.scale import saved
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; null texts are scored as empty."""
-    scored = quality.score(docs, queries.quality_model(spark, sf_dir), into="_score")
-    return scored.where(F.col("_score") >= queries.GOOD).select(*docs.columns)
+    # No name of the caller's is longer than this one.
+    score = "score" + "_" * max(map(len, docs.columns))
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir), into=score)
+    return scored.where(F.col(score) >= queries.GOOD).drop(score)
 
 
 #: The general rule for near copies; the figures of ``op2_ngram_jaccard_join`` (3 and 90) hold for that query alone.
@@ -31,7 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that start more than once; ``n_chars`` follows the text."""
     cut = repeats.dedup(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
