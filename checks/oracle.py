@@ -265,7 +265,12 @@ def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
     for name in ("repeated_outcomes", "stream_running_report", "stream_repeated_outcomes"):
         found[name] = found["stats_report"]
-    return found | {"rerun_requests": found["stored_requests"], "stream_status_pairs": found["status_pairs"]}
+    return found | {
+        "rerun_requests": found["stored_requests"],
+        "stream_status_pairs": found["status_pairs"],
+        "stream_peak_requests": found["peak_requests_in_flight"],
+        "stream_replay_gaps": found["replay_gaps"],
+    }
 
 
 def _oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ from logsluice.operators import stats
 from logsluice.operators.classify import classify_lines, rejected_lines
 from logsluice.operators.compare import first_outcomes, first_outcomes_of_stream, pair_counts, status_mismatch
 from logsluice.operators.filters import build_predicate
-from logsluice.operators.timing import peak_in_flight, rate_exceedance, replay_schedule
+from logsluice.operators.timing import peak_in_flight, peak_of_seconds, rate_exceedance, replay_schedule, schedule_of_seconds
 from logsluice.options import JobOptions
 from logsluice.plans import jobs
 from logsluice.plans.sinks import summary_lines, write_requests, write_stats_json
@@ -24,6 +24,7 @@ from logsluice.sources.lines import numbered_lines, stream_lines
 from logsluice.sources.outcomes import stream_outcomes
 from logsluice.streaming import landing
 from logsluice.streaming.jobs import start_request_stream, start_window_stats, window_report
+from logsluice.streaming.timing import start_request_seconds, start_seconds_in_flight
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -457,6 +458,33 @@ def stream_status_pairs(spark, sf):
     return pair_counts(pairs)
 
 
+def _seconds(spark, sf, start) -> DataFrame:
+    """What a stream of requests stored that was stopped after each of five deliveries and one far ahead."""
+    base = views.scratch_dir(spark)
+    rows = views.traffic(spark, sf).select("line_no", "ts", "user_id", "latency_us")
+    end = rows.agg(
+        F.lit(-1).cast("long").alias("line_no"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"), F.lit(1).cast("long").alias("latency_us"),
+    )
+    for chunk in [*_by_time(rows), end]:
+        chunk.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        start(source, f"{base}/out", f"{base}/checkpoint", WATERMARK, availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def stream_peak_requests(spark, sf):
+    peaks = peak_of_seconds(_seconds(spark, sf, start_seconds_in_flight))
+    return peaks.select(F.unix_micros("minute").alias("minute_us"), "peak")
+
+
+def stream_replay_gaps(spark, sf):
+    def start(rows, *places, **trigger):
+        return start_request_seconds(rows, "user_id", *places, **trigger)
+
+    return schedule_of_seconds(_seconds(spark, sf, start), "user_id")
+
+
 def rerun_requests(spark, sf):
     """Requests by date, the first date of which is written a second time."""
     path = views.scratch_dir(spark)
@@ -525,6 +553,8 @@ def queries() -> dict[str, Query]:
         stream_running_report,
         stream_repeated_outcomes,
         stream_status_pairs,
+        stream_peak_requests,
+        stream_replay_gaps,
     ):
         found[run.__name__] = run
     return found

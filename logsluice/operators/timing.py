@@ -40,7 +40,11 @@ def peak_in_flight(outcomes: DataFrame) -> DataFrame:
         .agg(F.sum("delta").alias("net"))
         .withColumn("peak", F.col("net"))
     )
-    seconds = _summarise(instants, F.expr("at div 1000000"))
+    return peak_of_seconds(_summarise(instants, F.expr("at div 1000000")))
+
+
+def peak_of_seconds(seconds: DataFrame) -> DataFrame:
+    """Peaks per minute from what each second (``at``) adds up to (``net``) and reaches above its start (``peak``)."""
     minutes = _summarise(seconds, F.expr("at div 60"))
     # One row per minute of the log, 525 600 a year, however many requests it has.
     level = _sum_before(Window.orderBy("at"))
@@ -83,17 +87,7 @@ def replay_schedule(requests: DataFrame, key: str) -> DataFrame:
     rows = requests.select("line_no", F.struct(key).alias("of"), at.alias("at"))
     timed = rows.where(F.col("at").isNotNull())
     instants = timed.groupBy("of", "at").agg(F.min("line_no").alias("first_line"))
-    seconds = _spans(instants.withColumn("low", F.col("at")).withColumn("high", F.col("at")), "at div 1000000")
-    days = _spans(seconds, "span div 86400").withColumnRenamed("span", "day")
-    over_key = Window.partitionBy("of").orderBy("day")
-    days = days.select(
-        "of", "day", F.lag("high").over(over_key).alias("before_day"), F.min("low").over(over_key).alias("first_at")
-    )
-    in_day = Window.partitionBy("of", "day").orderBy("span")
-    seconds = seconds.withColumn("day", F.expr("span div 86400")).join(days, ["of", "day"])
-    seconds = seconds.select(
-        "of", "span", "first_at", F.coalesce(F.lag("high").over(in_day), "before_day").alias("before_span")
-    )
+    seconds = _carried(_spans(instants.withColumn("low", F.col("at")).withColumn("high", F.col("at")), "at div 1000000"))
     in_second = Window.partitionBy("of", "span").orderBy("at")
     placed = instants.withColumn("span", F.expr("at div 1000000")).join(seconds, ["of", "span"])
     previous = F.coalesce(F.lag("at").over(in_second), "before_span")
@@ -111,6 +105,44 @@ def replay_schedule(requests: DataFrame, key: str) -> DataFrame:
     return scheduled.unionByName(untimed)
 
 
+def schedule_of_seconds(seconds: DataFrame, key: str) -> DataFrame:
+    """Like ``replay_schedule``, from the sorted ``requests`` (``at``, ``line_no``) of each second of a key.
+
+    ``seconds`` has ``of`` (the key in a struct), ``span`` (null: requests without a time) and ``requests``.
+    Only one row per second is shuffled to find what earlier seconds hold; requests stay in their second.
+    """
+    timed = seconds.where("span IS NOT NULL")
+    at = F.col("requests")["at"]
+    bounds = timed.select("of", "span", at[0].alias("low"), F.element_at(at, -1).alias("high"))
+    placed = timed.join(_carried(bounds), ["of", "span"])
+
+    def scheduled(request: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(at, i - 1)).otherwise(F.col("before_span"))
+        gap, offset = request["at"] - before, request["at"] - F.col("first_at")
+        return F.struct(request["line_no"].alias("line_no"), gap.alias("gap_us"), offset.alias("offset_us"))
+
+    rows = placed.select(f"of.{key}", F.explode(F.transform("requests", scheduled)).alias("r"))
+    unknown = F.lit(None).cast("bigint")
+    untimed = seconds.where("span IS NULL").select(f"of.{key}", F.explode("requests").alias("r"))
+    return rows.select("r.line_no", key, "r.gap_us", "r.offset_us").unionByName(
+        untimed.select("r.line_no", key, unknown.alias("gap_us"), unknown.alias("offset_us"))
+    )
+
+
+def _carried(seconds: DataFrame) -> DataFrame:
+    """With each second of a key its ``before_span``, the latest time before it, and the key's ``first_at``."""
+    days = _spans(seconds, "span div 86400").withColumnRenamed("span", "day")
+    over_key = Window.partitionBy("of").orderBy("day")
+    days = days.select(
+        "of", "day", F.lag("high").over(over_key).alias("before_day"), F.min("low").over(over_key).alias("first_at")
+    )
+    in_day = Window.partitionBy("of", "day").orderBy("span")
+    seconds = seconds.withColumn("day", F.expr("span div 86400")).join(days, ["of", "day"])
+    return seconds.select(
+        "of", "span", "first_at", F.coalesce(F.lag("high").over(in_day), "before_day").alias("before_span")
+    )
+
+
 def _spans(parts: DataFrame, span: str) -> DataFrame:
     """Earliest and latest time per key and ``span``, an expression over ``parts``."""
     return parts.groupBy("of", F.expr(span).alias("span")).agg(F.min("low").alias("low"), F.max("high").alias("high"))

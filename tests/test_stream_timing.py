@@ -1,0 +1,63 @@
+"""Gaps and peaks of streams against the batch operators on the same rows."""
+
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from logsluice.operators.timing import peak_in_flight, peak_of_seconds, replay_schedule, schedule_of_seconds
+from logsluice.streaming.timing import start_request_seconds, start_seconds_in_flight
+
+START = datetime(2033, 2, 27, 23, 59, tzinfo=timezone.utc)
+ROW = "line_no long, ts timestamp, who string, latency_us long"
+
+
+@pytest.fixture
+def rows():
+    """A busy key, no key, repeated instants, times across a day's end, requests of every length."""
+    rng = random.Random(77)
+    found = []
+    for i in range(700):
+        ts = START + timedelta(microseconds=rng.choice([rng.randint(0, 90_000_000), 5_000_000, rng.randint(0, 9) * 250_000]))
+        who = rng.choice(["busy"] * 5 + ["a", "b", None])
+        found.append((i, ts if rng.random() < 0.97 else None, who, rng.choice([0, None, 1, 250_000, 3_000_000, 80_000_000, rng.randint(1, 10**7)])))
+    return found
+
+
+def _stream(spark, folder, rows, start):
+    """Five deliveries in the order of time, shuffled inside, each with a restart; then one far ahead."""
+    timed = sorted(rows, key=lambda r: (r[1] is not None, r[1]))
+    rng = random.Random(1)
+    parts = [timed[k * len(timed) // 5 : (k + 1) * len(timed) // 5] for k in range(5)] + [[(-1, START + timedelta(days=9), "end", 1)]]
+    for part in parts:
+        rng.shuffle(part)
+        spark.createDataFrame(part, ROW).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(ROW).parquet(f"{folder}/in")
+        query = start(source, f"{folder}/out", f"{folder}/cp", "20 seconds", availableNow=True)
+        query.awaitTermination()
+    # What is held in the end is the last delivery.
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 2
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_peaks_of_a_stream_equal_those_of_the_batch(spark, rows, tmp_path):
+    seconds = _stream(spark, tmp_path, rows, start_seconds_in_flight)
+    want = peak_in_flight(spark.createDataFrame(rows, ROW)).collect()
+    assert len(want) > 2 and sorted(peak_of_seconds(seconds).collect()) == sorted(want)
+
+
+def test_gaps_of_a_stream_equal_those_of_the_batch(spark, rows, tmp_path):
+    seconds = _stream(spark, tmp_path, rows, lambda source, *a, **t: start_request_seconds(source, "who", *a, **t))
+    want = replay_schedule(spark.createDataFrame(rows, ROW), "who").collect()
+    got = schedule_of_seconds(seconds, "who").select("line_no", "who", "gap_us", "offset_us").collect()
+    assert len(want) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_streams_without_rows(spark, tmp_path):
+    for name, start in (("peaks", start_seconds_in_flight), ("gaps", lambda s, *a, **t: start_request_seconds(s, "who", *a, **t))):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([], ROW).write.parquet(f"{folder}/in")
+        start(spark.readStream.schema(ROW).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/cp", "1 second", availableNow=True).awaitTermination()
+    none = spark.createDataFrame([], "of struct<who: string>, span long, requests array<struct<at: long, line_no: long>>")
+    assert schedule_of_seconds(none, "who").count() == 0
+    assert peak_of_seconds(spark.createDataFrame([], "at long, net long, peak long")).count() == 0
