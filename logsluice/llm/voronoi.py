@@ -1,14 +1,17 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Queries are grouped by their nearest pivot. A lower bound of each query's k-th score comes from
-summaries: of the cells' sizes and radii, and of a sample's scores. A row goes to a group of
-queries only if the group's pivot and radius allow a score as high as the group's lowest bound.
+Queries belong to the cell of their nearest pivot, and neighbouring cells form groups. A lower bound
+of each query's k-th score comes from summaries: of the cells' sizes and radii, and of a sample's
+scores. A row goes to a group only if the pivot and radius of one of its cells allow a score as high
+as the cell's lowest bound. Where the vectors have no clusters, little can be ruled out, and
+each row meets each group: then it is an exact scan in blocks, of queries times rows.
 Rows travel as blocks of small integers; a unit of work has a bounded number of queries and a
 salted part of the rows, and streams its blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 K = 20
 SCALE = 64
-#: Pivots: at least MIN_PIVOTS, one per QUERIES queries, at most MAX_PIVOTS.
+#: Pivots: about the root of the rows, at least MIN_PIVOTS and at most MAX_PIVOTS.
 MIN_PIVOTS, MAX_PIVOTS = 16, 512
 #: Rows, lowest hash of their id first, whose scores bound a query's k-th score from below.
 SAMPLE = 2048
@@ -60,6 +63,16 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
 
+def spread_out(sample: np.ndarray, most: int) -> np.ndarray:
+    """Rows of the sample, each the farthest from those before it, so that no cluster of it is without one."""
+    rows = sample.astype(np.float64)
+    chosen, apart = [0], ((rows - rows[0]) ** 2).sum(axis=1)
+    while len(chosen) < most and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
 @dataclass(frozen=True)
 class Cells:
     """Pivots, and of each cell's rows the number and the radius."""
@@ -108,19 +121,19 @@ def _sample_bound(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, samp
     return np.partition(scores, -k, axis=1)[:, -k]
 
 
-UNIT = "cell int, chunk int, salt int, kind int, type string, ids binary, vectors binary, bounds binary"
+UNIT = "part int, chunk int, salt int, kind int, type string, ids binary, vectors binary, bounds binary"
 
 
-def _unit(cell: int, chunk: int, salt: int, kind: int, ids: np.ndarray, x: np.ndarray, bounds=None) -> dict:
+def _unit(group: int, chunk: int, salt: int, kind: int, ids: np.ndarray, x: np.ndarray, bounds=None) -> dict:
     small = _small(x)
     return {
-        "cell": cell, "chunk": chunk, "salt": salt, "kind": kind, "type": small.dtype.str, "ids": ids.astype(np.int64).tobytes(),
+        "part": group, "chunk": chunk, "salt": salt, "kind": kind, "type": small.dtype.str, "ids": ids.astype(np.int64).tobytes(),
         "vectors": small.tobytes(), "bounds": None if bounds is None else bounds.tobytes(),
     }
 
 
 _UNIT_SCHEMA = pa.schema(
-    [(n, pa.int32()) for n in ("cell", "chunk", "salt", "kind")]
+    [(n, pa.int32()) for n in ("part", "chunk", "salt", "kind")]
     + [("type", pa.string())]
     + [(n, pa.binary()) for n in ("ids", "vectors", "bounds")]
 )
@@ -146,10 +159,8 @@ def top_k(
         return _ranked(base.sparkSession.createDataFrame([], schema), k)
     taken = base.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample_ids, sample = taken.column(0).to_numpy(), _matrix(taken.column(1).combine_chunks(), width)
-    pivots = np.unique(sample, axis=0)
-    pivots = pivots[np.argsort(np.abs(pivots).sum(axis=1) % 9973, kind="stable")][: min(MAX_PIVOTS, max(MIN_PIVOTS, n_queries // QUERIES))]
-    cells = _summary(base, Cells(pivots), width)
-    chunks, radii, bounds = _query_groups(queries, cells, sample, sample_ids, width, k)
+    cells = _summary(base, Cells(spread_out(sample, min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n))))), width)
+    groups = _query_groups(queries, cells, sample, sample_ids, width, k)
     salts = max(1, -(-n // ROWS))
 
     def send_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +168,28 @@ def top_k(
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
             cell, _ = cells.nearest(x)
             bound = np.maximum(cells.kth_bound(x, k), _sample_bound(x, ids, sample, sample_ids, k))
-            chunk = _spread(ids) % chunks[cell]
-            for c, h in {*zip(cell.tolist(), chunk.tolist(), strict=True)}:
-                own = (cell == c) & (chunk == h)
-                found = [_unit(c, h, s, 0, ids[own], x[own], bound[own]) for s in range(salts)]
+            group = groups.of_cell[cell]
+            chunk = _spread(ids) % groups.chunks[group]
+            for g, h in {*zip(group.tolist(), chunk.tolist(), strict=True)}:
+                own = (group == g) & (chunk == h)
+                found = [_unit(g, h, s, 0, ids[own], x[own], bound[own]) for s in range(salts)]
                 yield pa.RecordBatch.from_pylist(found, _UNIT_SCHEMA)
 
     def send_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = np.flatnonzero(chunks)
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-            most = x.astype(np.float64) @ cells.pivots[used].T.astype(np.float64) + norms[:, None] * radii[used]
-            needed = most + 1e-9 * np.abs(most) + 1e-6 >= bounds[used]
+            needed = groups.needed(x, cells)
             salt = _spread(ids) % salts
             for s in np.unique(salt).tolist():
-                for at, c in enumerate(used.tolist()):
-                    own = np.flatnonzero(needed[:, at] & (salt == s))
+                for g, chunks in enumerate(groups.chunks.tolist()):
+                    own = np.flatnonzero(needed[:, g] & (salt == s))
                     for lo in range(0, len(own), BLOCK):
                         part = own[lo : lo + BLOCK]
-                        for h in range(int(chunks[c])):
-                            yield pa.RecordBatch.from_pylist([_unit(c, h, s, 1, ids[part], x[part])], _UNIT_SCHEMA)
+                        for h in range(chunks):
+                            yield pa.RecordBatch.from_pylist([_unit(g, h, s, 1, ids[part], x[part])], _UNIT_SCHEMA)
 
     sent = queries.mapInArrow(send_queries, UNIT).unionByName(base.select("vec_id", "v").mapInArrow(send_rows, UNIT))
-    keys = ["cell", "chunk", "salt"]
+    keys = ["part", "chunk", "salt"]
     spark_parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = sent.repartition(max(spark_parts, salts), *keys).sortWithinPartitions(*keys, "kind")
 
@@ -188,7 +197,7 @@ def top_k(
         unit, solver = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                key = row["cell"], row["chunk"], row["salt"]
+                key = row["part"], row["chunk"], row["salt"]
                 if key != unit:
                     if solver is not None:
                         yield solver.result()
@@ -261,8 +270,55 @@ def _summary(base: DataFrame, cells: Cells, width: int) -> Cells:
     return Cells(cells.pivots, sizes, radii)
 
 
-def _query_groups(queries: DataFrame, cells: Cells, sample: np.ndarray, sample_ids: np.ndarray, width: int, k: int):
-    """Per cell: chunks of its queries, their radius, and the lowest bound of a k-th score."""
+@dataclass(frozen=True)
+class Groups:
+    """Neighbouring cells with QUERIES queries or more together: ``of_cell`` numbers them, ``chunks`` cut the large ones.
+
+    ``used`` are the cells with queries, group by group from ``starts`` on, with their ``radii`` and lowest ``bounds``.
+    """
+
+    used: np.ndarray
+    starts: np.ndarray
+    chunks: np.ndarray
+    of_cell: np.ndarray
+    radii: np.ndarray
+    bounds: np.ndarray
+
+    def needed(self, x: np.ndarray, cells: Cells) -> np.ndarray:
+        """Which groups each row may matter to."""
+        rows = x.astype(np.float64)
+        norms = np.sqrt((rows**2).sum(axis=1))
+        most = rows @ cells.pivots[self.used].T.astype(np.float64) + norms[:, None] * self.radii
+        able = most + 1e-9 * np.abs(most) + 1e-6 >= self.bounds
+        return np.logical_or.reduceat(able, self.starts, axis=1)
+
+
+def grouped(cells: Cells, counts: np.ndarray, radii: np.ndarray, bounds: np.ndarray) -> Groups:
+    """Groups of the cells that have queries; each next cell is the nearest one left."""
+    used = np.flatnonzero(counts)
+    pivots = cells.pivots.astype(np.float64)
+    ordered, left = [], np.ones(len(used), dtype=bool)
+    at = 0
+    while left.any():
+        left[at] = False
+        ordered.append(at)
+        apart = ((pivots[used] - pivots[used[at]]) ** 2).sum(axis=1)
+        at = int(np.where(left, apart, np.inf).argmin())
+    used = used[ordered]
+    starts, held = [0], 0
+    for k, n in enumerate(counts[used].tolist()):
+        if held >= QUERIES or held and n >= QUERIES:
+            starts.append(k)
+            held = 0
+        held += n
+    sizes = np.add.reduceat(counts[used], starts)
+    of_cell = np.zeros(len(counts), np.int64)
+    of_cell[used] = np.repeat(np.arange(len(starts)), np.diff([*starts, len(used)]))
+    return Groups(used, np.array(starts), -(-sizes // QUERIES), of_cell, radii[used], bounds[used])
+
+
+def _query_groups(queries: DataFrame, cells: Cells, sample: np.ndarray, sample_ids: np.ndarray, width: int, k: int) -> Groups:
+    """Of each cell the number and radius of its queries and the lowest bound of a k-th score; a row per cell comes to the driver."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,10 +329,10 @@ def _query_groups(queries: DataFrame, cells: Cells, sample: np.ndarray, sample_i
 
     found = queries.mapInArrow(assign, "cell long, apart double, bound double")
     found = found.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius"), F.min("bound").alias("bound")).collect()
-    chunks, radii, bounds = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots)), np.full(len(cells.pivots), np.inf)
+    counts, radii, bounds = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots)), np.full(len(cells.pivots), np.inf)
     for r in found:
-        chunks[r["cell"]], radii[r["cell"]], bounds[r["cell"]] = -(-r["n"] // QUERIES), r["radius"], r["bound"]
-    return chunks, radii, bounds
+        counts[r["cell"]], radii[r["cell"]], bounds[r["cell"]] = r["n"], r["radius"], r["bound"]
+    return grouped(cells, counts, radii, bounds)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

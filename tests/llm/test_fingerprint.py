@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from logsluice.llm import fingerprint as fp
-from logsluice.llm import neighbours
+from logsluice.llm import neighbours, queries
 from logsluice.llm.words import text_bytes
 
 RNG = random.Random(11)
@@ -105,3 +105,77 @@ def test_edited_texts(spark):
     assert one["near_next"] == 1
     same = fp.fingerprints(spark.createDataFrame([(1, texts[0]), (2, texts[0])], "doc_id long, text string")).collect()
     assert same[0]["fingerprint"] == same[1]["fingerprint"] != ""
+
+
+WORD = 1 << 64
+
+
+def _plain_class(window):
+    weight = sum(round(c * math.log2(c) * 65536) for c in Counter(window).values())
+    most = round(64 * 6 * 65536)
+    return (most - weight) * 1000 // most
+
+
+def _plain_hash(raw):
+    total, power = 0, 1
+    for byte in raw:
+        total = (total + int(fp._VALUES[byte]) * power) % WORD
+        power = power * (0x9E3779B97F4A7C15 | 1) % WORD
+    return total
+
+
+def _plain_chain(text, ranks):
+    """Filters as sets of bits, window by window."""
+    raw = text.encode()
+    if not raw:
+        return []
+    classes = [_plain_class(raw[i : i + 64]) for i in range(len(raw) - 63)]
+    popular = Counter()
+    for i in range(max(len(classes) - 63, min(len(classes), 1))):
+        popular[min(range(i, min(i + 64, len(classes))), key=lambda k: (ranks[classes[k]], k))] += 1
+    popular = {k: n for k, n in sorted(popular.items()) if classes[k] > 100}
+    chosen = [k for k, n in popular.items() if n >= min(16, max(len(classes) - 63, 1))]
+    if popular and not chosen:
+        chosen = [max(popular, key=lambda k: (popular[k], -k))]
+    found = [_plain_hash(raw[k : k + 64]) for k in chosen] or [(_plain_hash(raw) + len(raw)) % WORD]
+    mixed = list(dict.fromkeys(int(fp.mix(np.array([h], np.uint64))[0]) for h in found))
+    return [{(h >> 11 * k) % 2048 for h in mixed[i : i + 160] for k in range(5)} for i in range(0, len(mixed), 160)]
+
+
+def _plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+
+    def one(x, y):
+        shared, most = len(x & y), min(len(x), len(y))
+        chance = len(x) * len(y) / 2048
+        floor = chance + 0.3 * (most - chance)
+        return 1.0 if shared == most else min(max((shared - floor) / (most - floor), 0.0), 1.0)
+
+    def toward(x, y):
+        return sum(max(one(f, g) for g in y) * len(f) for f in x) / sum(map(len, x))
+
+    if len(a) == len(b):
+        return (toward(a, b) + toward(b, a)) / 2
+    return toward(*sorted((a, b), key=len))
+
+
+def test_the_query_equals_fingerprints_made_window_by_window(spark, tmp_path):
+    base = _prose(1800)
+    texts = [base, base[:3000] + _prose(60), _prose(60), None, "", "é", "ab" * 200, "x" * 64, _prose(9)[:70], base[500:4000], base[500:3000], "ß" * 40 + _prose(40)]
+    docs = spark.createDataFrame([(i * 3, t, "n", 1) for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string, n_chars int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id // 3: r for r in queries.op7_document_fingerprints(spark, str(tmp_path)).collect()}
+    counts = Counter(_plain_class(raw[k : k + 64]) for t in texts for raw in [(t or "").encode()] for k in range(len(raw) - 63))
+    ranks = {c: k for k, c in enumerate(sorted(range(1001), key=lambda c: (c <= 100, counts[c], c)))}
+    whole = [t or "" for t in texts]
+    after = whole[1:] + whole[:1]
+    chains = [_plain_chain(t, ranks) for t in whole]
+    assert max(map(len, chains)) > 1
+    for i, (text, following) in enumerate(zip(whole, after, strict=True)):
+        edited = _plain_chain(text[: len(text) - len(text) // 2] + following[: len(text) // 2], ranks)
+        for name, chain in (("fingerprint", chains[i]), ("edited_fingerprint", edited)):
+            bits = [set(np.flatnonzero(np.unpackbits(f.view(np.uint8), bitorder="little")).tolist()) for f in fp.from_text(got[i][name])]
+            assert bits == chain, (i, name)
+        assert math.isclose(got[i].near_edited, _plain_likeness(chains[i], edited), abs_tol=1e-9)
+        assert math.isclose(got[i].near_next, _plain_likeness(chains[i], chains[(i + 1) % len(chains)]), abs_tol=1e-9)

@@ -60,3 +60,50 @@ def test_large_components_are_exact(spark):
     rows = [(i, [2.0**40 * (i - 5), 1.0]) for i in range(12)]
     rows = [(i, [min(max(x, -(2.0**23)), 2.0**23) for x in v]) for i, v in rows]
     assert _ours(spark, rows, 3, 2) == _brute(rows, 3, 2)
+
+
+def _share_sent(x, every, k):
+    """The share of (row, group) pairs that are sent, and the groups."""
+    ids = np.arange(len(x))
+    queries, query_ids = x[ids % every == 0], ids[ids % every == 0]
+    pivots = voronoi.spread_out(x[:500], 40)
+    cell, apart = voronoi.Cells(pivots).nearest(x)
+    radii = np.zeros(len(pivots))
+    np.maximum.at(radii, cell, apart)
+    cells = voronoi.Cells(pivots, np.bincount(cell, minlength=len(pivots)), radii)
+    cell, apart = cells.nearest(queries)
+    bound = np.maximum(cells.kth_bound(queries, k), voronoi._sample_bound(queries, query_ids, x[:500], ids[:500], k))
+    radii, bounds = np.zeros(len(pivots)), np.full(len(pivots), np.inf)
+    np.maximum.at(radii, cell, apart)
+    np.minimum.at(bounds, cell, bound)
+    groups = voronoi.grouped(cells, np.bincount(cell, minlength=len(pivots)), radii, bounds)
+    needed = groups.needed(x, cells)
+    # What is left out is below the k-th score of every query of the group.
+    exact = np.sort(np.where(query_ids[:, None] == ids, -(1 << 40), queries @ x.T), axis=1)[:, -k]
+    for g in range(needed.shape[1]):
+        own = groups.of_cell[cell] == g
+        left_out = x[~needed[:, g]]
+        assert own.any() and (queries[own] @ left_out.T < exact[own][:, None]).all()
+    return needed.mean(), needed.shape[1]
+
+
+def test_clustered_rows_go_to_few_groups_and_others_to_all(monkeypatch):
+    monkeypatch.setattr(voronoi, "QUERIES", 40)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(24, 32))
+    centres *= 64 / np.linalg.norm(centres, axis=1)[:, None]
+    clustered = np.floor(centres[rng.integers(0, 24, 4000)] + rng.normal(scale=1.5, size=(4000, 32))).astype(np.int64)
+    share, groups = _share_sent(clustered, 10, 10)
+    assert groups >= 6 and share < 0.3
+    ball = np.floor(rng.normal(scale=8, size=(4000, 32))).astype(np.int64)
+    share, groups = _share_sent(ball, 10, 10)
+    assert share > 0.9 and groups >= 6
+
+
+def test_pivots_leave_no_cluster_out():
+    rng = np.random.default_rng(8)
+    far = np.array([[0, 0], [1000, 0], [0, 1000]])
+    sample = np.concatenate([far[0] + rng.integers(0, 9, (500, 2)), far[1:]])
+    pivots = voronoi.spread_out(sample, 3)
+    assert {tuple((p + 500) // 1000) for p in pivots} == {(0, 0), (1, 0), (0, 1)}
+    assert len(voronoi.spread_out(np.ones((9, 2), np.int64), 5)) == 1
