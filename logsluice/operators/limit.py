@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from logsluice.operators.classify import classify_lines
 from logsluice.operators.filters import with_passes
 from logsluice.options import JobOptions
-from logsluice.sources.lines import list_files, read_lines, split_lines, with_place
+from logsluice.sources.lines import list_files, read_lines, read_source, split_lines, with_place
 from logsluice.sources.unreadable import faults, surviving_lines
 
 # Executors need not have this package installed.

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import dataclasses
 import sys
-import time
 from collections.abc import Iterator
 
 import pyarrow as pa
