@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row.
 
     Scores are sums of log10 probabilities over the words and the end of the whole text; a word
-    that training has not seen has the probability of one unknown word.
+    that training has not seen has the probability of one unknown word. A null or empty text is its end alone.
     """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,7 +289,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Each row encoded and decoded again: ``n_tokens``, ``ids_crc32`` (little-endian uint32), ``n_bytes``
-    (byte fallbacks), ``decoded_sha256`` (lowercase hex), ``same`` (the text came back)."""
+    (byte fallbacks), ``decoded_sha256`` (lowercase hex), ``same`` (the text came back).
+
+    A null or empty text has no tokens and comes back as an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = piece_ids(model)

@@ -173,6 +173,30 @@ def _may_link(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("u.n") + F.col("v.n"))
 
 
+def _size_band(percent: int) -> Column:
+    """Bands so wide that sets that link lie in one or in neighbouring ones; with equal sets only, each size is one."""
+    if percent >= 100:
+        return F.col("n").cast("long")
+    # The width is a little more than the ratio of sizes, which makes up for rounding.
+    return F.floor(F.log("n") / F.log(F.lit(100 / max(percent, 1) + 1e-6)))
+
+
+def _near_bands() -> Column:
+    return F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+
+
+def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of a token that may link with another one by what is known of whole bands: the smallest set, and the
+    most that stands behind the token in one. A family whose sets have the token too far behind forms no pairs."""
+    behind = F.col("n") - F.col("at")
+    bands = rows.groupBy("token", "band").agg(F.min("n").alias("least"), F.max(behind).alias("most"))
+    reach = bands.select("token", F.explode(_near_bands()).alias("band"), "least", "most")
+    # Of three bands the best of both figures: no row is left out that one of them allows.
+    reach = reach.groupBy("token", "band").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    able = (100 + percent) * F.least(behind, F.col("most")) >= percent * (F.col("n") + F.col("least"))
+    return rows.join(reach, ["token", "band"]).where(able).drop("least", "most")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that link: prefixes of all other orders meet, then the sets are compared."""
     of = lambda name: classes.select(F.col("set").alias(name), F.struct("n", "tokens", *(f"prefix{k}" for k in range(1, MORE_ORDERS + 1))).alias(f"{name}_"))
@@ -211,9 +235,11 @@ def links(docs: DataFrame, settings: Settings = Settings(), key: str = "long") -
     labelled = labelled.withColumn("component", F.coalesce("component", "set"))
     apart = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     apart = saved(labelled.join(apart.where("least <> most").select("token"), "token"), "apart")
-    side = lambda name: apart.select(F.col("token").alias(f"{name}_token"), F.struct("set", "n", "at", "component").alias(name))
+    # Sets that link have sizes in one band of this width or in neighbouring ones.
+    apart = _with_partners(apart.withColumn("band", _size_band(settings.percent)), settings.percent)
+    side = lambda name, band: apart.select("token", band.alias("band"), F.struct("set", "n", "at", "component").alias(name))
     allowed = (F.col("u.component") < F.col("v.component")) & _may_link(settings.percent)
-    cross = side("u").join(side("v"), (F.col("u_token") == F.col("v_token")) & allowed)
+    cross = side("u", F.col("band")).join(side("v", F.explode(_near_bands())), ["token", "band"]).where(allowed)
     more = saved(_verified(_pairs(cross.select("u", "v")), classes, settings.percent), "links")
     joined = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return members.select("doc_id", "n", "set"), components(joined).withColumnRenamed("node", "set")

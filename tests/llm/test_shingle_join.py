@@ -116,3 +116,27 @@ def test_components(spark):
     loops = {a for a, b in pairs if a == b}
     assert got == {i: c for i, c in parent.items() if i in got} and set(parent) - set(got) <= loops
     assert components(spark.createDataFrame([], "a long, b long").select(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_a_family_that_cannot_link_forms_no_pairs(spark):
+    def left(n, at):
+        rows = spark.range(5000).select(F.lit(7).alias("token"), F.col("id").alias("set"), (n + F.col("id") % 9).alias("n"), F.lit(at).alias("at"))
+        return shingle_join._with_partners(rows.withColumn("band", shingle_join._size_band(90)), 90).count()
+
+    # Eight in a hundred of their own stand before the template's token: at 90 per cent no two can link.
+    assert left(500, 41) == 0 and left(500, 20) == 5000
+    for percent in (1, 50, 80, 99):
+        sizes = spark.range(1, 400).select(F.col("id").alias("n")).withColumn("band", shingle_join._size_band(percent))
+        bands = {r.n: r.band for r in sizes.collect()}
+        assert all(abs(bands[a] - bands[b]) <= 1 for a in bands for b in bands if 100 * min(a, b) >= percent * max(a, b))
+
+
+def test_a_family_on_one_template_equals_all_pairs(spark):
+    rng = random.Random(41)
+    template = [f"w{i}" for i in range(110)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i}x{k}" for k in range(rng.choice([2, 5, 9, 12, 30]))]
+        rows.append((i, " ".join(own + template if i % 2 else template + own)))
+    for settings in (Settings(), Settings(words=5, percent=80), Settings(percent=100)):
+        assert _ours(spark, rows, settings) == _brute(rows, settings)
