@@ -108,8 +108,9 @@ def _chosen(windows: DataFrame, rare: int) -> DataFrame:
 def merged_lists(word: str, grams: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Ends and starts, in the marked word, of the grams whose lists the word is in.
 
-    ``grams`` are (place, size, occurrences). Equal grams go together, so that the ones two words
-    share at corresponding places are in both.
+    ``grams`` are (place, size, occurrences). Equal grams are chosen together. Of them the first tells what
+    stands before an edit behind it, and the last what stands behind an edit before it: where another
+    one of them is untouched on that side, these are, too.
     """
     marked = START + word + END
     over = np.zeros(len(marked) + 1, dtype=np.int64)
@@ -119,8 +120,9 @@ def merged_lists(word: str, grams: list[tuple[int, int, int]]) -> tuple[list[int
     bound = int(np.cumsum(over)[1:-2].max())
     ranked = sorted((occurs, marked[place : place + size], place) for place, size, occurs in grams)
     last = ranked[bound][:2]
-    kept = [(place, place + len(gram)) for occurs, gram, place in ranked if (occurs, gram) <= last]
-    return sorted({end for _, end in kept}), sorted({place for place, _ in kept})
+    kept = [(gram, place) for occurs, gram, place in ranked if (occurs, gram) <= last]
+    ends = {place + len(gram) for gram, place in dict(reversed(kept)).items()}
+    return sorted(ends), sorted(dict(kept).values())
 
 
 def _hashes(text: str, sizes: list[int], seed: int) -> list[int]:
@@ -167,7 +169,8 @@ def variants(words: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ``n_near`` counts the words one edit away. ``form`` is the most frequent of them, the first
     in code-point order among equals, if it occurs ``factor`` times as often, else null; ``root``
     is where forms lead to in the end, the word itself without one. Null and short words count
-    for nothing; without words there are no rows. Words are compared whole, however long.
+    for nothing; without words there are no rows. Words are compared whole, however long; two that
+    may be near take time by the product of their lengths.
     """
     known = vocabulary(words, settings)
     pairs = saved(near_words(known, settings), "pairs")
